@@ -109,7 +109,7 @@ def chart_readings(readings: DataFrame, source: list[str], time: str, value: str
     Defined cases: NULL or NaN values, times or source columns are no
     readings. Repeated (source, time, value) rows count once; equal times order
     by value. A source whose readings are all equal has spread 0 and no spike.
-    A zero quantile scale falls back to the mean absolute deviation.
+    A zero scale of the inner quantiles falls back to that of the outer ones.
     Empty input gives an empty result. Other columns are ignored.
     """
     names = [f"k{i}" for i in range(len(source))]
@@ -121,10 +121,10 @@ def chart_readings(readings: DataFrame, source: list[str], time: str, value: str
     raw = raw.withColumn("b", F.floor(F.col("t") / F.lit(spec.bucket_ms)).cast("long"))
     finite = F.abs("x") < F.lit(float("inf"))
 
-    q = F.percentile_approx("x", [0.025, 0.16, 0.5, 0.84, 0.975], 2000)
-    base = raw.filter(finite).groupBy(*names).agg(q.alias("q"), F.percentile_approx("x", [0.005, 0.995], 2000).alias("w"))
-    base = base.select(*names, F.col("q")[2].alias("m0"), F.greatest((F.col("q")[3] - F.col("q")[1]) / 2, (F.col("q")[4] - F.col("q")[0]) / 3.92).alias("s0"), ((F.col("w")[1] - F.col("w")[0]) / 5.15).alias("w0"))
-    base = base.select(*names, "m0", F.when(F.col("s0") > 0, F.col("s0")).otherwise(F.col("w0")).alias("s0"))
+    q = F.percentile_approx("x", [0.005, 0.025, 0.16, 0.5, 0.84, 0.975, 0.995], 500)
+    base = raw.filter(finite).groupBy(*names).agg(q.alias("q")).withColumns({f"q{i}": F.col("q")[i] for i in range(7)})
+    s0, w0 = F.greatest((F.col("q4") - F.col("q2")) / 2, (F.col("q5") - F.col("q1")) / 3.92), (F.col("q6") - F.col("q0")) / 5.15
+    base = base.select(*names, F.col("q3").alias("m0"), F.when(s0 > 0, s0).otherwise(w0).alias("s0"))
 
     rows = raw.repartition(*names, "b").dropDuplicates([*names, "b", "t", "x"])
     blocks = ordered_blocks(rows, names, "b", spec.block_rows, spec.halo_rows)
@@ -160,9 +160,11 @@ def chart_readings(readings: DataFrame, source: list[str], time: str, value: str
         return pa.table(cols)
 
     charted = blocks.groupBy(*names, "__block").applyInArrow(run, out_schema)
-    # One row per suspect or frozen reading, and one row of sums per block: the sums reach the reading rows of their source by one shuffle.
-    picked = charted.filter(F.col("t").isNotNull()).groupBy(*names, "t", "x").agg(F.max("frozen").alias("frozen"), F.max("suspect").alias("suspect"))
-    sums = charted.filter(F.col("t").isNull()).groupBy(*names).agg(F.sum("n").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b"), F.max("m0").alias("m0"))
+    # One aggregate holds the picked readings and, with a NULL time, the sums of each source. Both sides of the join
+    # keep all its aggregates alive (the filters), so that the charts run once and both read one exchange.
+    both = charted.groupBy(*names, "t", "x").agg(*[F.max(c).alias(c) for c in ("frozen", "suspect")], *[F.sum(c).alias(c) for c in ("n", "a", "b")], F.max("m0").alias("m0"))
+    picked = both.filter("n is null and a is null and b is null and m0 is null").select(*names, "t", "x", "frozen", "suspect")
+    sums = both.filter("frozen is null and suspect is null").select(*names, "n", "a", "b", "m0")
     mean = F.try_divide(F.col("a"), F.col("n"))
     normal = sums.select(*names, (F.col("m0") + mean).alias("level"), F.sqrt(F.greatest(F.try_divide(F.col("b"), F.col("n")) - mean * mean, F.lit(0.0))).alias("spread"))
     out = picked.join(normal, names, "left")
