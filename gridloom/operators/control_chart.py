@@ -127,8 +127,7 @@ def chart_readings(readings: DataFrame, source: list[str], time: str, value: str
     base = base.select(*names, F.col("q3").alias("m0"), F.when(s0 > 0, s0).otherwise(w0).alias("s0"))
 
     rows = raw.repartition(*names, "b").dropDuplicates([*names, "b", "t", "x"])
-    blocks = ordered_blocks(rows, names, "b", spec.block_rows, spec.halo_rows)
-    blocks = blocks.join(base, names, "left")  # a source without finite readings has no base
+    blocks = ordered_blocks(rows, names, "b", spec.block_rows, spec.halo_rows, base)
 
     out_schema = ", ".join(f"{n} {dict(raw.dtypes)[n]}" for n in names) + ", t bigint, x double, frozen boolean, suspect boolean, n bigint, a double, b double, m0 double"
 

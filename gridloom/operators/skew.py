@@ -20,6 +20,7 @@ def lookup_join(
     weight: str,
     keep: Callable[[dict[str, Column]], Column] | None = None,
     hot_keys: int = HOT_KEYS,
+    derive: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> DataFrame:
     """Left-join ``right`` (one row per key) onto ``left`` without a hot reducer.
 
@@ -28,19 +29,20 @@ def lookup_join(
     rows is among them. The other keys go through a shuffle join in which the
     rows already answered by the broadcast are spread over ``SALTS`` salts.
     ``keep`` filters rows once their values are known; for the hot keys that
-    happens before the shuffle.
+    happens before the shuffle. ``derive`` adds costly values to rows of
+    ``right`` once the hot ones are chosen.
 
     NULL keys match nothing and keep their rows. Names of ``left`` may not
     begin with two underscores.
     """
-    hot = right.orderBy(F.col(weight).desc(), *on).limit(hot_keys).select(*on, *[F.col(v).alias(f"__h_{v}") for v in values], F.lit(True).alias("__hot"))
+    hot = derive(right.orderBy(F.col(weight).desc(), *on).limit(hot_keys)).select(*on, *[F.col(v).alias(f"__h_{v}") for v in values], F.lit(True).alias("__hot"))
     rows = left.join(F.broadcast(hot), on, "left")
     is_hot = F.col("__hot").isNotNull()
     if keep is not None:
         rows = rows.filter(~is_hot | F.coalesce(keep({v: F.col(f"__h_{v}") for v in values}), F.lit(False)))
     spread = F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int") + 1
     rows = rows.withColumn("__salt", F.when(is_hot | F.coalesce(*[F.col(c).isNull() for c in on], F.lit(False)), spread).otherwise(F.lit(0)))
-    cold = right.select(*on, *[F.col(v).alias(f"__c_{v}") for v in values], F.lit(0).alias("__salt"))
+    cold = derive(right).select(*on, *[F.col(v).alias(f"__c_{v}") for v in values], F.lit(0).alias("__salt"))
     out = rows.join(cold, [*on, "__salt"], "left")
     out = out.select(*left.columns, "__hot", *[F.when(is_hot, F.col(f"__h_{v}")).otherwise(F.col(f"__c_{v}")).alias(v) for v in values])
     if keep is not None:
@@ -48,7 +50,7 @@ def lookup_join(
     return out.select(*left.columns, *values)
 
 
-def ordered_blocks(rows: DataFrame, source: list[str], bucket: str, block_rows: int, halo_rows: int) -> DataFrame:
+def ordered_blocks(rows: DataFrame, source: list[str], bucket: str, block_rows: int, halo_rows: int, about: DataFrame | None = None) -> DataFrame:
     """Cut each source's time order into blocks of about ``block_rows`` rows, each led by a halo.
 
     ``rows`` must be hash-partitioned by (source, bucket), where ``bucket`` is
@@ -56,6 +58,8 @@ def ordered_blocks(rows: DataFrame, source: list[str], bucket: str, block_rows:
     row is home in one block and may also come, with ``__home`` false, as part
     of the ``halo_rows`` or more rows before another block. Only counts per
     (source, bucket) are ordered within a source, so no task holds a source.
+    ``about`` (a row per source) is left-joined to those counts, so that its
+    columns reach the rows without a join by source.
     """
     counts = rows.groupBy(*source, bucket).agg(F.count(F.lit(1)).alias("__n"))
     by_time = W.partitionBy(*source).orderBy(bucket)
@@ -66,6 +70,9 @@ def ordered_blocks(rows: DataFrame, source: list[str], bucket: str, block_rows:
     none = F.array().cast("array<struct<b:bigint,k:bigint,home:boolean>>")
     here = F.array(F.struct(F.col(bucket).cast("long").alias("b"), F.col("__block").alias("k"), F.lit(True).alias("home")))
     halo = F.transform("__halo", lambda b: F.struct(b.cast("long").alias("b"), F.col("__next").alias("k"), F.lit(False).alias("home")))
-    place = plan.select(*source, F.explode(F.concat(here, F.coalesce(halo, none))).alias("__p"))
-    place = place.select(*source, F.col("__p.b").alias(bucket), F.col("__p.k").alias("__block"), F.col("__p.home").alias("__home"))
+    more = [c for c in about.columns if c not in source] if about is not None else []
+    if about is not None:
+        plan = plan.join(about, source, "left")
+    place = plan.select(*source, *more, F.explode(F.concat(here, F.coalesce(halo, none))).alias("__p"))
+    place = place.select(*source, *more, F.col("__p.b").alias(bucket), F.col("__p.k").alias("__block"), F.col("__p.home").alias("__home"))
     return rows.join(place, [*source, bucket], "inner")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.operators.containers import container_index
-from gridloom.operators.control_chart import ChartSpec, chart_readings
+from gridloom.operators.control_chart import ChartSpec, chart_readings, physical_limits
 from gridloom.operators.doubling import trailing_totals
 from gridloom.operators.seasonal import regular_grid
 from gridloom.operators.validity import as_known_at
@@ -19,12 +19,12 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _read(spark, sf_dir, "returns_1h").select(F.lit("returns_1h").alias("src"), "symbol", "t", F.lit("ret").alias("field"), F.col("ret").alias("x"))
+    a = _read(spark, sf_dir, "returns_1h").select("symbol", "t", F.lit("ret").alias("field"), F.col("ret").alias("x"))
     b = _read(spark, sf_dir, "target_8h_lag60").select("symbol", F.col("t_obs").alias("t"), F.explode(F.array(F.struct(F.lit("fwd_ret").alias("field"), F.col("fwd_ret").alias("x")), F.struct(F.lit("target").alias("field"), F.col("target").alias("x")))).alias("v"))
-    rows = a.unionByName(b.select(F.lit("target_8h_lag60").alias("src"), "symbol", "t", "v.field", "v.x"))
-    charted = chart_readings(rows, ["src", "symbol", "field"], "t", "x", ChartSpec())
-    impossible = rows.filter(F.col("field").isin("ret", "fwd_ret") & (F.col("x") <= -1) & F.col("symbol").isNotNull() & F.col("t").isNotNull())
-    return charted.select("src", "symbol", "t", "field").unionByName(impossible.select("src", "symbol", "t", "field")).distinct()
+    rows = a.unionByName(b.select("symbol", "t", "v.field", "v.x"))
+    impossible = physical_limits(rows, "x", {"ret": -1.0, "fwd_ret": -1.0}, "field").filter("symbol is not null and t is not null")
+    found = chart_readings(rows, ["symbol", "field"], "t", "x", ChartSpec()).select("symbol", "t", "field").unionByName(impossible.select("symbol", "t", "field")).distinct()
+    return found.select(F.when(F.col("field") == "ret", "returns_1h").otherwise("target_8h_lag60").alias("src"), "symbol", "t", "field")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
