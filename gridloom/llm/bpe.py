@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from gridloom.operators.skew import lookup_join
 
 # The pattern that splits text before the merges, with white space spelled out for Java.
-SPACE = r"\t-\r \u0085   -     　"
+SPACE = r"\t-\r \x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 SLOTS = 8192
 NONE = 2_000_000_000
