@@ -95,7 +95,8 @@ def pack_files(spark: SparkSession, glob: str, out_dir: str, target_bytes: int =
     content with very many copies makes no task large. A container is written
     under a fresh name and only the committed index refers to it: a task that
     is retried leaves at most an unreferenced file, which readers never see.
-    ``out_dir`` must be a folder all executors share.
+    ``out_dir`` must be a folder all executors share. Files of zero length hold
+    no record and aren't listed by Spark's file sources: they get no entry.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(glob).select("path", "length", "content")
     if shards is None:
