@@ -19,7 +19,8 @@ LOOK_ALIKES = {
     "ѕ": "s", "і": "i", "ј": "j", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ɡ": "g", "ı": "i", "ɑ": "a", "ο": "o", "α": "a", "ν": "v", "ι": "i", "ρ": "p",
 }
 SPAN = 1 << 22  # letters of an item at most
-_LOOK = str.maketrans(LOOK_ALIKES)
+# Marks that combine with the letter before and invisible format characters go; look-alikes become Latin.
+_LOOK = {c: None for c in range(0x80, 0x20000) if unicodedata.combining(chr(c)) or unicodedata.category(chr(c)) == "Cf"} | str.maketrans(LOOK_ALIKES)
 _TAG = re.compile(r"<[^<>]{0,200}>")
 _WORD = re.compile(r"[^\W_]+")
 _JOINED = re.compile(r"(?<=\w)['’ʼ](?=\w)")
@@ -43,10 +44,13 @@ class LeakSpec:
 
 def plain_words(text: str) -> list[str]:
     """Words in a form that letter case, punctuation, markup, accents, spacing and look-alike letters don't change."""
-    text = _TAG.sub(" ", html.unescape(text))
-    text = unicodedata.normalize("NFKD", text).casefold()
-    text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
-    return _WORD.findall(_JOINED.sub("", text.translate(_LOOK)))
+    if "<" in text or "&" in text:
+        text = _TAG.sub(" ", html.unescape(text))
+    if text.isascii():
+        text = text.lower()
+    else:
+        text = unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", text).casefold()).translate(_LOOK)
+    return _WORD.findall(_JOINED.sub("", text))
 
 
 def _codes(words: list[str]) -> np.ndarray:
@@ -71,6 +75,7 @@ class LeakIndex:
         self.spec, self.ids = spec, []
         self.codes: list[np.ndarray] = []
         self.word_of: list[np.ndarray] = []
+        self.sizes: list[list[int]] = []
         self.least: list[int] = []
         self.width: list[int] = []
         grams, owner, place = [], [], []
@@ -87,6 +92,7 @@ class LeakIndex:
             self.word_of.append(np.repeat(np.arange(len(words)), sizes))
             windows = np.lib.stride_tricks.sliding_window_view(sizes, spec.words)
             self.least.append(self._bound(windows))
+            self.sizes.append(sizes.tolist())
             self.width.append(int(windows.sum(axis=1).max()))
             g = _grams(codes, spec.q)
             grams.append(g)
@@ -95,6 +101,8 @@ class LeakIndex:
         self.grams = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         order = np.argsort(self.grams, kind="stable")
         self.grams = self.grams[order]
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[self.grams >> np.uint64(44)] = True
         self.owner = np.concatenate(owner)[order] if grams else np.zeros(0, np.int32)
         self.place = np.concatenate(place)[order] if grams else np.zeros(0, np.int32)
 
@@ -114,14 +122,17 @@ class LeakIndex:
         g = _grams(codes, self.spec.q)
         if not len(g) or not len(self.grams):
             return []
-        lo, hi = np.searchsorted(self.grams, g, "left"), np.searchsorted(self.grams, g, "right")
-        at = np.flatnonzero(hi > lo)
-        if len(at) < min(self.least):
+        near = np.flatnonzero(self.seen[g >> np.uint64(44)])  # most texts share next to nothing: ask a bit map first
+        if len(near) < min(self.least):
             return []
-        counts = hi[at] - lo[at]
-        hit = np.repeat(lo[at] - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())
+        lo, hi = np.searchsorted(self.grams, g[near], "left"), np.searchsorted(self.grams, g[near], "right")
+        near, lo, hi = (x[hi > lo] for x in (near, lo, hi))
+        if len(near) < min(self.least):
+            return []
+        counts = hi - lo
+        hit = np.repeat(lo - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())
         owner, place = self.owner[hit].astype(np.int64), self.place[hit].astype(np.int64)
-        b = np.floor_divide(place - np.repeat(at, counts), self.spec.band)
+        b = np.floor_divide(place - np.repeat(near, counts), self.spec.band)
         half, span = np.int64(1) << 22, np.int64(SPAN)
         key = np.concatenate([(owner * 2 * half + b + half) * span + place, (owner * 2 * half + b - 1 + half) * span + place])
         key.sort()
@@ -137,6 +148,9 @@ class LeakIndex:
         out: list[tuple[int, int, int, int, int]] = []
         for c in np.unique(cell[rich]).tolist():
             r = rich[cell[rich] == c]
+            a, z = np.searchsorted(cell, [c, c + 1])
+            if not self._may_hold(c // (2 * int(half)), key[a:z] % span):
+                continue
             i, low = c // (2 * int(half)), (c % (2 * int(half)) - int(half)) * self.spec.band
             high = low + 2 * self.spec.band - 1
             a, z = int(key[r[0]] % span), int(key[r[-1]] % span) + self.width[i]
@@ -146,6 +160,43 @@ class LeakIndex:
                 out.append((i, low, high, a, z))
         return out
 
+    def _may_hold(self, item: int, places: np.ndarray) -> bool:
+        """Whether the letters that shared q-grams cover leave room for a passage.
+
+        A word with an uncovered letter can be kept only within a block of
+        fewer than q kept letters between altered words, since a longer one, or one
+        next to a covered word, would share a q-gram. The bound takes the
+        fewest alterations that leave only such blocks, and is slack at the
+        borders, where a passage can begin within them.
+        """
+        spec, sizes = self.spec, self.sizes[item]
+        step = np.zeros(len(self.word_of[item]) + 1, np.int32)
+        step[places] = 1
+        step = np.cumsum(step)
+        at = np.arange(len(step) - 1)
+        whole = step[at] > np.r_[np.zeros(spec.q, np.int32), step][at]  # some q-gram began within the last q letters
+        ok = np.bincount(self.word_of[item], ~whole, len(sizes)) == 0
+        if ok.sum() < spec.words // 2:
+            return False
+        flags, n, i = ok.tolist(), len(ok), 0
+        while i < n:
+            if flags[i]:
+                i += 1
+                continue
+            j = i
+            while j < n and not ok[j]:
+                j += 1
+            block = 0
+            for k in range(i, j):
+                border = (k == i and i > 0) or (k == j - 1 and j < n)
+                if border or block + sizes[k] >= spec.q:
+                    block = 0
+                else:
+                    flags[k] = True
+                    block += sizes[k]
+            i = j
+        return _longest(np.array(flags), spec.per) >= spec.words - 4
+
     def passage(self, codes: np.ndarray, item: int, low: int, high: int, first: int, last: int) -> int:
         """Words of the longest passage of the item kept in the text within a region, to a width beyond it."""
         a, z = max(0, first - self.width[item] // 2), last + self.width[item] // 2
@@ -176,26 +227,23 @@ def _kept_words(item: np.ndarray, word_of: np.ndarray, text: np.ndarray, low: in
     pos = np.arange(n)[:, None] - (low - 1 + np.arange(w))[None, :]
     inside = (pos >= 0) & (pos < len(text))
     same = inside & (text[np.clip(pos, 0, max(len(text) - 1, 0))] == item[:, None])
+    step = np.where(same, 1, np.where(inside, -1, -(1 << 20))).astype(np.int32)
     score = np.zeros((n + 1, w), np.int32)
     ramp = np.arange(w, dtype=np.int32)
     for i in range(n):
         prev = score[i]
-        row = np.where(same[i], prev + 1, prev - 1)  # along the diagonal
-        row[1:] = np.maximum(row[1:], prev[:-1] - 1)  # an item letter without a text letter: the diagonal rises
-        row = np.maximum(row, 0)
-        row[~inside[i]] = 0
-        # A text letter without an item letter lowers the diagonal: running maximum from the right.
-        score[i + 1] = np.maximum.accumulate((row - ramp)[::-1])[::-1] + ramp if row.any() else row
-        score[i + 1][~inside[i]] = 0
-        np.maximum(score[i + 1], 0, out=score[i + 1])
+        row = prev + step[i]  # along the diagonal
+        np.maximum(row[1:], prev[:-1] - 1, out=row[1:])  # an item letter without a text letter: the diagonal rises
+        np.maximum(row, 0, out=row)
+        row -= ramp  # a text letter without an item letter lowers the diagonal: a running maximum from the right
+        np.add(np.maximum.accumulate(row[::-1])[::-1], ramp, out=score[i + 1])
     hit = np.zeros(n, bool)
     joined = np.ones(n, bool)  # no text letter was put in before this item letter
     i, d = divmod(int(score.argmax()), w)
     while i > 0 and score[i, d] > 0:
         s, r = score[i, d], i - 1
-        step = 1 if same[r, d] else -1
-        if s == score[r, d] + step:
-            hit[r] = step == 1
+        if s == score[r, d] + step[r, d]:
+            hit[r] = same[r, d]
             i -= 1
         elif d and s == score[r, d - 1] - 1:
             i, d = i - 1, d - 1
@@ -212,13 +260,19 @@ def _kept_words(item: np.ndarray, word_of: np.ndarray, text: np.ndarray, low: in
 
 def _longest(ok: np.ndarray, per: int) -> int:
     """Longest run of words, of which at most one in ``per`` is not kept, that begins and ends with a kept word."""
-    gain = np.r_[0, np.cumsum(np.where(ok, 1, 1 - per))]
+    kept = ok.tolist()
+    gain, total = [0], 0
+    for k in kept:
+        total += 1 if k else 1 - per
+        gain.append(total)
+    starts: list[int] = []
+    for a, k in enumerate(kept):
+        if k and (not starts or gain[a] < gain[starts[-1]]):
+            starts.append(a)
     best = 0
-    starts = np.flatnonzero(ok)
-    for a in starts.tolist():
-        ends = starts[(starts >= a) & (gain[starts + 1] >= gain[a])]
-        if len(ends):
-            best = max(best, int(ends[-1]) + 1 - a)
+    for z in range(len(kept) - 1, -1, -1):
+        while kept[z] and starts and gain[z + 1] >= gain[starts[-1]]:
+            best = max(best, z + 1 - starts.pop())
     return best
 
 
