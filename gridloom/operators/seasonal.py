@@ -74,7 +74,8 @@ def regular_grid(
     grid = grid.select("src", "k", "live_from", (F.col("i") * step_ms).alias("slot"))
     ok = readings.filter(F.col("k").isNotNull() & F.col("t").isNotNull() & F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") < F.lit(float("inf"))))
     seen = ok.groupBy("src", "k", (F.floor(F.col("t") / F.lit(step_ms)).cast("long") * step_ms).alias("slot")).agg(F.avg("x").alias("observed"), F.count("x").alias("n"))
-    rows = grid.join(seen, ["src", "k", "slot"], "left")
+    # The optimizer takes an exploded table for as small as its source and would broadcast it: ask for a merge.
+    rows = grid.hint("merge").join(seen, ["src", "k", "slot"], "left")
 
     cols = basis(F.col("slot").cast("double"), F.col("live_from").cast("double"), list(periods_ms), trend_ms)
     p = len(cols)
