@@ -23,9 +23,10 @@ def daily_in_ranges(readings: DataFrame, ranges: DataFrame, scale: int = 1_000_0
     rows = readings.filter("k is not null and t is not null and x is not null").filter(~F.isnan("x"))
     rows = rows.select("k", F.floor(F.col("t") / DAY_MS).cast("long").alias("day"), "t", "x").repartition("k", "day").dropDuplicates(["k", "day", "t", "x"])
     rows = rows.filter(F.abs("x") < 1).select("k", "day", "t", F.round(F.round("x", 6) * scale).cast("long").alias("u"))
-    hit = rows.join(days, ["k", "day"]).filter((F.col("t") >= F.col("live_from")) & (F.col("t") < F.col("live_to")))
+    # The optimizer takes exploded days for as few as the ranges and would broadcast them: ask for a merge.
+    hit = rows.join(days.hint("merge"), ["k", "day"]).filter((F.col("t") >= F.col("live_from")) & (F.col("t") < F.col("live_to")))
     hit = hit.groupBy("k", "day", "live_from", "live_to").agg(F.sum("u").alias("total"), F.count("u").alias("n"))
-    dense = days.join(hit, ["k", "day", "live_from", "live_to"], "left")
+    dense = days.hint("merge").join(hit, ["k", "day", "live_from", "live_to"], "left")
     return dense.select("k", "live_from", "live_to", "day", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
