@@ -24,12 +24,14 @@ def densify(rows: DataFrame, key: list[str], t: str, step: int) -> DataFrame:
     """Every step of each key between its first and last row; missing ones with NULLs. ``rows`` hold multiples of step."""
     spans = rows.groupBy(*key).agg(F.min(t).alias("__a"), F.max(t).alias("__z"))
     grid = spans.select(*key, F.explode(F.sequence("__a", "__z", F.lit(step).cast("bigint"))).alias(t))
-    return grid.join(rows, [*key, t], "left")
+    return grid.hint("merge").join(rows, [*key, t], "left")  # exploded: larger than the optimizer takes it for
 
 
 def densify_cross(rows: DataFrame, members: DataFrame, times: DataFrame, key: str, t: str) -> DataFrame:
     """Every (member, time) of two distinct lists, with NULLs where ``rows`` has none."""
-    return times.select(t).distinct().join(F.broadcast(members.select(key).distinct()), how="cross").join(rows, [key, t], "left")
+    calendar = times.agg(F.collect_set(t).alias("__ts"))  # one row: a calendar's instants, not the rows'
+    grid = members.select(key).distinct().crossJoin(F.broadcast(calendar)).select(key, F.explode("__ts").alias(t))
+    return grid.hint("merge").join(rows, [key, t], "left")
 
 
 def bucket_sums(tape: DataFrame, key: list[str], t: str, values: list[str], step: int, closed: str = "right") -> DataFrame:
