@@ -35,7 +35,7 @@ def nearest_within(left: DataFrame, entity: str, at: str, right: DataFrame, r_en
     kept = ticks.groupBy("k", "q").agg(
         F.max(F.when(r < lo, r)).alias("before"), F.min(F.when(r >= lo + w, r)).alias("after"), F.collect_set(F.when((r >= lo) & (r < lo + w), r)).alias("inside")
     )
-    hit = ls.dropDuplicates(["k", "q", "t"]).join(kept, ["k", "q"])
+    hit = ls.dropDuplicates(["k", "q", "t"]).join(kept.hint("merge"), ["k", "q"])
     t = F.col("t")
     near = F.array_min(F.transform(F.filter(F.concat(F.array("before", "after"), "inside"), lambda x: x.isNotNull()), lambda x: F.struct(F.abs(x - t).alias("d"), x.alias("r"))))
     out = hit.select("k", "t", near.alias("n")).filter(F.col("n.d") <= tolerance)
