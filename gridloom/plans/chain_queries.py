@@ -347,36 +347,77 @@ def feature_context(spark: SparkSession, sf: str) -> Context:
     }, lead=("KORUSDX", "VELUSDX"))
 
 
-def _family(name: str):
-    def run(spark, sf):
-        f = FAMILIES[name]
-        return f.build(feature_context(spark, sf)).select("symbol", "t", *[r(c).alias(c) for c in f.features])
-
-    run.__name__ = f"features_{name.lower()}"
-    return run
-
-
-for _n in FAMILIES:
-    query(None)(_family(_n))
-
 _DENSE = "select g.symbol, g.t, p.px, p.qv, b.beta, b.sigma, i.r_m from (select symbol, unnest(generate_series(min(t), max(t), 28800000)) as t from panel group by symbol) g left join panel p using (symbol, t) left join betas b using (symbol, t) left join idx i using (t)"
 _E8 = "select *, (rr - beta * r_m) / nullif(sigma, 0) as e8 from (select *, px / lag(px) over (partition by symbol order by t) - 1 as rr from dense)"
 
 
-def _roll(fn: str, n: int, m: int, x: str) -> str:
+SCALE = 0.1  # the test tables span one quarter and hold few bars of the tape
+
+
+def roll(fn: str, n: int, m: int, x: str) -> str:
+    """A row window of the scaled size and least count, as the families take it."""
+    n, m = max(2, round(n * SCALE)), max(2, round(m * SCALE))
     w = f"over (partition by symbol order by t rows between {n - 1} preceding and current row)"
     return f"case when count({x}) {w} >= {m} then {fn}({x}) {w} end"
 
 
-@query(f"select e.symbol, e.t, round(l1, 6) as resid_lag_8h, round(l2, 6) as resid_lag_16h, round(l5, 6) as resid_lag_40h, round(s5, 6) as resid_sum_5, round(s20, 6) as resid_sum_20 from (select symbol, t, lag(e8) over w as l1, lag(e8, 2) over w as l2, lag(e8, 5) over w as l5, {_roll('sum', 5, 3, 'e8')} as s5, {_roll('sum', 20, 12, 'e8')} as s20 from e8 window w as (partition by symbol order by t)) e join panel using (symbol, t)", dense=_DENSE, e8=_E8)
-def features_h_lags(spark, sf):
-    f = FAMILIES["H"].build(feature_context(spark, sf))
-    return f.select("symbol", "t", *[r(c).alias(c) for c in FAMILIES["H"].features[:5]])
+def z30(x: str) -> str:
+    return f"({x} - ({roll('avg', 90, 54, x)})) / nullif({roll('stddev_samp', 90, 54, x)}, 0)"
+
+
+_FTAPE = "select symbol, t, " + ", ".join(f"max(case when not isnan({c}) and not isinf({c}) then {c} end) as {c}" for c in ("open", "high", "low", "close", "volume", "quote_volume")) + ", max(trade_count) as trade_count from bars group by symbol, t"
+_TRET = "select *, ret * ret as r2, lag(ret) over (partition by symbol order by t) as ret1, cast(ceil(t / 28800000.0) as bigint) * 28800000 as bar from (select *, close / nullif(lag(close) over (partition by symbol order by t), 0) - 1 as ret from ftape)"
+_GRID = "select symbol, unnest(generate_series(min(t), max(t), 28800000)) as t from panel group by symbol"
+_FPATH = "select symbol, bar as t, count(ret) as n, sum(trade_count) as trades, sum(volume) as vol, sum(volume * volume) as vol2, sum(quote_volume) as qvs, sum(r2) as s2, sum(r2 * ret) as s3, sum(r2 * r2) as s4, sum(abs(ret)) as sabs, sum(case when t <= bar - 25200000 then ret end) as early, sum(case when t > bar - 3600000 then ret end) as late, sum(pow(ln(high / nullif(low, 0)), 2)) as hl2, count(ln(high / nullif(low, 0))) as nhl, arg_max(close, t) as last, count(case when ret is not null and quote_volume is not null then 1 end) as nc, covar_pop(abs(ret), quote_volume) as cq, stddev_pop(case when quote_volume is not null then abs(ret) end) * stddev_pop(case when ret is not null then quote_volume end) as sq from tret group by symbol, bar"
+_FD = "select g.symbol, g.t, f.* exclude (symbol, t), case when trades > 0 then ln(trades) end as lt, case when vol > 0 then ln(vol) end as lv from (" + _GRID + ") g left join fpath f using (symbol, t)"
+
 
+def _only(keys: str, body: str) -> str:
+    return f"select x.* from ({body}) x join panel p on p.symbol = x.symbol and p.t = x.t"
 
-@query(f"select e.symbol, e.t, round(-e8, 6) as resid_reversal_8h, round(bi, 6) as beta_instability, round(dd, 6) as drawdown_from_peak from (select symbol, t, e8, {_roll('stddev_samp', 90, 54, 'beta')} as bi, px / ({_roll('max', 90, 54, 'px')}) - 1 as dd from e8) e join panel using (symbol, t)", dense=_DENSE, e8=_E8)
-def features_e_parts(spark, sf):
-    f = FAMILIES["E"].build(feature_context(spark, sf))
-    return f.select("symbol", "t", *[r(c).alias(c) for c in ("resid_reversal_8h", "beta_instability", "drawdown_from_peak")])
 
+_HURST = " + ".join(f"(case when count(d{k}) over hw >= {{m}} and avg(d{k}) over hw > 0 then ln(avg(d{k}) over hw) end) * ({v - 1.3862943611198906} / 4.804530139182014)" for k, v in ((1, 0.0), (2, 0.6931471805599453), (4, 1.3862943611198906), (8, 2.0794415416798357), (16, 2.772588722239781)))
 
+
+def hurst(n: int, m: int) -> str:
+    n, m = max(2, round(n * SCALE)), max(2, round(m * SCALE))
+    return "(" + _HURST.replace("{m}", str(m)).replace("over hw", f"over (partition by symbol order by t rows between {n - 1} preceding and current row)") + ") / 2"
+
+
+_HBASE = "select symbol, t, e8, " + ", ".join(f"pow(y - lag(y, {k}) over (partition by symbol order by t), 2) as d{k}" for k in (1, 2, 4, 8, 16)) + f", {roll('stddev_samp', 90, 54, 'e8')} as sd from (select *, case when e8 is not null then sum(coalesce(e8, 0)) over (partition by symbol order by t) end as y from e8)"
+
+FEATURE_SQL = {
+    "D": sql(
+        _only("", "select symbol, t, case when ok then round((lt - a1) - (lv - a2), 6) end as retail_attention_div, case when ok then round(vol2 / nullif(vol * vol, 0), 6) end as volume_concentration, case when ok then round(last / nullif(qvs / nullif(vol, 0), 0) - 1, 6) end as close_vs_vwap, case when ok then round((early - late) / nullif(sabs, 0), 6) end as move_timing, case when ok then round(sqrt(n) * s3 / nullif(pow(s2, 1.5), 0), 6) end as realized_skew, case when ok then round(n * s4 / nullif(s2 * s2, 0), 6) end as realized_kurt, case when ok then round(sqrt(hl2 / nullif(nhl * 2.772588722239781, 0)) / nullif(sqrt(s2 / n), 0), 6) end as parkinson_ratio, case when ok and nc >= 3 then round(cq / nullif(sq, 0), 6) end as volume_return_coupling from (select *, n >= 6 as ok, " + roll("avg", 90, 54, "lt") + " as a1, " + roll("avg", 90, 54, "lv") + " as a2 from fd)"),
+        ftape=_FTAPE, tret=_TRET, fpath=_FPATH, fd=_FD,
+    ),
+    "H": sql(
+        _only("", "select symbol, t, round(lag(e8) over w, 6) as resid_lag_8h, round(lag(e8, 2) over w, 6) as resid_lag_16h, round(lag(e8, 5) over w, 6) as resid_lag_40h, round(s5, 6) as resid_sum_5, round(s20, 6) as resid_sum_20, round(zsd, 6) as realized_vol_zscore_30d, case when len(a) >= 16 and sd is not null then round((len(list_filter(a, lambda x: x < sd)) + (len(list_filter(a, lambda x: x = sd)) + 1) / 2.0) / len(a), 6) end as realized_vol_percentile_90d, round(h90 - h270, 6) as hurst_short_minus_long, round(h90 - lag(h90, 9) over w, 6) as hurst_change from (select *, " + roll("sum", 5, 3, "e8") + " as s5, " + roll("sum", 20, 12, "e8") + " as s20, " + z30("sd") + " as zsd, list(sd) filter (sd is not null) over (partition by symbol order by t rows between 26 preceding and current row) as a, " + hurst(90, 54) + " as h90, " + hurst(270, 162) + " as h270 from hbase) window w as (partition by symbol order by t)"),
+        dense=_DENSE, e8=_E8, hbase=_HBASE,
+    ),
+    "E": sql(
+        _only("", "select symbol, t, round(-e8, 6) as resid_reversal_8h, round(vr, 6) as variance_ratio_72h, round(-e8 * (1 - vr), 6) as reversal_x_vr, round(beta - lag(beta, 9) over w, 6) as beta_momentum, round(bi, 6) as beta_instability, round(sigma / nullif(lag(sigma, 9) over w, 0) - 1, 6) as idio_vol_momentum, round(px / peak - 1, 6) as drawdown_from_peak, round(share - share3, 6) as volume_share_rotation, round(rel, 6) as session_rel_volume from (select d.*, d.v9 / nullif(2 * d.v1, 0) as vr, s.share, s3.share as share3 from (select *, " + roll("var_samp", 270, 162, "x2") + " as v9, " + roll("var_samp", 270, 162, "e8") + " as v1, " + roll("stddev_samp", 90, 54, "beta") + " as bi, " + roll("max", 90, 54, "px") + " as peak, l - case when count(l) over hw >= 2 then avg(l) over hw end as rel from (select *, case when count(e8) over w2 = 2 then sum(e8) over w2 end as x2, case when qv > 0 then ln(qv) end as l, t // 3600000 % 24 as h from e8 window w2 as (partition by symbol order by t rows between 1 preceding and current row)) window hw as (partition by symbol, h order by t rows between 2 preceding and current row)) d left join shares s using (symbol, t) left join shares s3 on s3.symbol = d.symbol and s3.t = d.t - 86400000) window w as (partition by symbol order by t)"),
+        dense=_DENSE, e8=_E8, shares="select symbol, t, qv / nullif(sum(qv) over (partition by t), 0) as share from panel where qv is not null",
+    ),
+    "A": sql(
+        _only("", "select d.symbol, d.t, case when d.t - f.t <= 32400000 then round(f.z, 6) end as funding_z, case when d.t - f.t <= 32400000 then round(f.cum, 6) end as funding_cum_7d, case when d.t - f.t <= 32400000 then f.run::double end as funding_sign_persist, case when d.t - f.t <= 32400000 then round(f.z * d.rz, 6) end as crowd_winning from (select symbol, t, " + z30("r") + " as rz from (select g.symbol, g.t, px / lag(px) over (partition by g.symbol order by g.t) - 1 as r from (" + _GRID + ") g left join panel using (symbol, t))) d asof left join fund f on f.symbol = d.symbol and d.t >= f.t"),
+        fund0="select symbol, t, funding as rate, sign(funding) as s, case when sign(funding) is not distinct from lag(sign(funding)) over (partition by symbol order by t) then 0 else 1 end as fresh from book",
+        fund1="select *, sum(fresh) over (partition by symbol order by t) as grp from fund0",
+        fund="select symbol, t, cast(row_number() over (partition by symbol, grp order by t) * s as bigint) as run, " + z30("rate") + " as z, " + roll("sum", 21, 12, "rate") + " as cum from fund1",
+    ),
+}
+
+
+def _family(name: str):
+    def run(spark, sf):
+        f = type(FAMILIES[name])(SCALE)
+        return f.build(feature_context(spark, sf)).select("symbol", "t", *[r(c).alias(c) for c in f.features])
+
+    run.__name__ = f"features_{name.lower()}"
+    return run
+
+
+for _n in FAMILIES:
+    query(None)(_family(_n))
+    if _n in FEATURE_SQL:
+        ORACLE[f"features_{_n.lower()}"] = FEATURE_SQL[_n]

@@ -56,6 +56,22 @@ class Family(ABC):
     context: tuple[str, ...] = ()  # features equal for all symbols of a bar
     warmup_bars: int = 0
 
+    def __init__(self, scale: float = 1.0) -> None:
+        """``scale`` shrinks every window and least count, for data of a shorter history or a sparser tape."""
+        self.scale = scale
+
+    def k(self, n: int) -> int:
+        return max(2, round(n * self.scale))
+
+    def m(self, n: int) -> int:
+        return max(2, round(n * self.scale))
+
+    def row(self, n: int):
+        return row(self.k(n))
+
+    def z30(self, x: str | Column) -> Column:
+        return wn.zscore(x, self.row(90), self.m(54))
+
     @abstractmethod
     def compute(self, ctx: Context) -> DataFrame: ...
 
@@ -71,10 +87,6 @@ def row(n: int, end: int = 0):
     return wn.rows(S, "t", n, end)
 
 
-def z30(x: str | Column) -> Column:
-    return wn.zscore(x, row(90), 54)
-
-
 def lag(x: str | Column, k: int = 1) -> Column:
     return F.lag(x, k).over(wn.along(S, "t"))
 
@@ -117,9 +129,9 @@ class Carry(Family):
 
     def compute(self, ctx):
         f = ctx.scan("funding").select("symbol", "t", "rate")
-        f = f.withColumns({"funding_z": z30("rate"), "funding_cum_7d": wn.rolling("sum", "rate", row(21), 12)})
+        f = f.withColumns({"funding_z": self.z30("rate"), "funding_cum_7d": wn.rolling("sum", "rate", self.row(21), self.m(12))})
         f = wn.signed_run(f, "rate", S, "t", "funding_sign_persist")
-        p = densify(ctx.scan("panel").select("symbol", "t", "px"), S, "t", ctx.step).withColumn("r", wn.gap_return("px", "t", S, ctx.step)).withColumn("rz", z30("r"))
+        p = densify(ctx.scan("panel").select("symbol", "t", "px"), S, "t", ctx.step).withColumn("r", wn.gap_return("px", "t", S, ctx.step)).withColumn("rz", self.z30("r"))
         p = asof_join(p, f, S, "t", "t", ["funding_z", "funding_cum_7d", "funding_sign_persist"], tolerance=9 * HOUR)
         return p.withColumn("crowd_winning", F.col("funding_z") * F.col("rz"))
 
@@ -132,7 +144,7 @@ class Positioning(Family):
         p = asof_join(densify(ctx.scan("panel").select("symbol", "t", "px", "qv"), S, "t", ctx.step), oi, S, "t", "t", ["oi", "oi_value"], tolerance=2 * HOUR)
         n = ctx.scan("tape").groupBy("symbol", bucket(ctx)).agg(F.sum("trade_count").alias("trades"))
         h = asof_join(ctx.scan("hourly").select("symbol", "t", "r"), oi, S, "t", "t", ["oi"], tolerance=2 * HOUR)
-        h = h.withColumn("doi", div("oi", lag("oi")) - 1).withColumn("oi_price_corr", wn.rolling_corr("doi", "r", row(720), 432))
+        h = h.withColumn("doi", div("oi", lag("oi")) - 1).withColumn("oi_price_corr", wn.rolling_corr("doi", "r", self.row(720), self.m(432)))
         p = asof_join(attach(p, n).drop("asof_time"), h, S, "t", "t", ["oi_price_corr"], tolerance=ctx.step)
         return p.withColumns({"oi_velocity_24h": div("oi", lag("oi", 3)) - 1, "oi_per_trade": div(F.col("oi") - lag("oi"), F.col("trades").cast("double")), "turnover": div("qv", "oi_value")})
 
@@ -161,10 +173,10 @@ class Liquidity(Family):
         g = lambda c: F.col(f"w_{c}")
         cov = F.try_divide(g("sxy"), g("n1")) - F.try_divide(g("sx"), g("n1")) * F.try_divide(g("sy"), g("n1"))
         d = d.withColumns({
-            "roll_spread": F.when(g("n1") >= 30, F.when(cov < 0, 2 * F.sqrt(F.abs(cov))).otherwise(0.0)),
-            "kyle_lambda": F.when(F.col("n") >= 30, div("cs", "vs")),
+            "roll_spread": F.when(g("n1") >= self.m(30), F.when(cov < 0, 2 * F.sqrt(F.abs(cov))).otherwise(0.0)),
+            "kyle_lambda": F.when(F.col("n") >= self.m(30), div("cs", "vs")),
             "vpin": div(F.abs("net"), "qs"),
-            "premium_reversion_speed": F.when(g("qn") >= 30, div(g("qn") * g("qxy") - g("qx") * g("qy"), g("qn") * g("qxx") - g("qx") * g("qx"))),
+            "premium_reversion_speed": F.when(g("qn") >= self.m(30), div(g("qn") * g("qxy") - g("qx") * g("qy"), g("qn") * g("qxx") - g("qx") * g("qx"))),
             "b2": F.pow(ln(div("hi", "lo")), 2) + F.pow(ln(div(lag("hi"), lag("lo"))), 2),
             "g2": F.pow(ln(div(F.greatest(F.col("hi"), lag("hi")), F.least(F.col("lo"), lag("lo")))), 2),
         })
@@ -172,13 +184,12 @@ class Liquidity(Family):
         a = (F.sqrt(2 * F.col("b2")) - F.sqrt("b2")) / k - F.sqrt(F.col("g2") / k)
         d = d.withColumn("cs1", F.greatest(2 * (F.exp(a) - 1) / (1 + F.exp(a)), F.lit(0.0)))
         d = d.withColumn("cs1", F.when(F.col("b2").isNotNull() & F.col("g2").isNotNull(), F.col("cs1")))
-        return d.withColumns({"vpin_perp_z": z30("vpin"), "corwin_schultz": wn.rolling("mean", "cs1", row(90), 54)})
+        return d.withColumns({"vpin_perp_z": self.z30("vpin"), "corwin_schultz": wn.rolling("mean", "cs1", self.row(90), self.m(54))})
 
 
 class Path(Family):
     name, inputs, warmup_bars = "D", ("panel", "tape"), 90
     features = ("retail_attention_div", "volume_concentration", "close_vs_vwap", "move_timing", "realized_skew", "realized_kurt", "parkinson_ratio", "volume_return_coupling")
-    least = 60
 
     def compute(self, ctx):
         t = tape_returns(ctx.scan("tape")).withColumn("bar", F.ceil(F.col("t") / F.lit(ctx.step)).cast("bigint") * ctx.step)
@@ -193,16 +204,16 @@ class Path(Family):
         )
         d = attach(densify(ctx.scan("panel").select("symbol", "t", "px"), S, "t", ctx.step), b)
         d = d.withColumns({"lt": ln(F.col("trades")), "lv": ln(F.col("vol"))})
-        ok = lambda c: F.when(F.col("n") >= self.least, c)
+        ok = lambda c: F.when(F.col("n") >= self.m(60), c)
         return d.withColumns({
-            "retail_attention_div": ok((F.col("lt") - wn.rolling("mean", "lt", row(90), 54)) - (F.col("lv") - wn.rolling("mean", "lv", row(90), 54))),
+            "retail_attention_div": ok((F.col("lt") - wn.rolling("mean", "lt", self.row(90), self.m(54))) - (F.col("lv") - wn.rolling("mean", "lv", self.row(90), self.m(54)))),
             "volume_concentration": ok(div("vol2", F.col("vol") * F.col("vol"))),
             "close_vs_vwap": ok(div("last", div("qvs", "vol")) - 1),
             "move_timing": ok(div(F.col("early") - F.col("late"), "sabs")),
             "realized_skew": ok(div(F.sqrt("n") * F.col("s3"), F.pow("s2", F.lit(1.5)))),
             "realized_kurt": ok(div(F.col("n") * F.col("s4"), F.col("s2") * F.col("s2"))),
             "parkinson_ratio": ok(div(F.sqrt(F.try_divide(F.col("hl2"), F.col("nhl") * (4 * math.log(2)))), F.sqrt(F.try_divide(F.col("s2"), F.col("n"))))),
-            "volume_return_coupling": ok(F.when(F.col("nc") >= 30, div("cq", "sq"))),
+            "volume_return_coupling": ok(F.when(F.col("nc") >= self.m(30), div("cq", "sq"))),
         })
 
 
@@ -212,11 +223,11 @@ class Regime(Family):
 
     def compute(self, ctx):
         d = dense_panel(ctx)
-        d = wn.variance_ratio(d, "e8", S, "t", 9, 270, 162, "variance_ratio_72h")
-        d = wn.session_relative(d, "qv", S, "t", 30, 15, "session_rel_volume")
+        d = wn.variance_ratio(d, "e8", S, "t", self.k(9), self.k(270), self.m(162), "variance_ratio_72h")
+        d = wn.session_relative(d, "qv", S, "t", self.k(30), self.m(15), "session_rel_volume")
         d = d.withColumns({
-            "resid_reversal_8h": -F.col("e8"), "beta_momentum": F.col("beta") - lag("beta", 90), "beta_instability": wn.rolling("std", "beta", row(90), 54),
-            "idio_vol_momentum": div("sigma", lag("sigma", 90)) - 1, "drawdown_from_peak": div("px", wn.rolling("max", "px", row(90), 54)) - 1,
+            "resid_reversal_8h": -F.col("e8"), "beta_momentum": F.col("beta") - lag("beta", self.k(90)), "beta_instability": wn.rolling("std", "beta", self.row(90), self.m(54)),
+            "idio_vol_momentum": div("sigma", lag("sigma", self.k(90))) - 1, "drawdown_from_peak": div("px", wn.rolling("max", "px", self.row(90), self.m(54))) - 1,
         })
         d = d.withColumn("reversal_x_vr", F.col("resid_reversal_8h") * (1 - F.col("variance_ratio_72h")))
         share = d.filter("qv is not null").select("symbol", "t", div("qv", F.sum("qv").over(W.partitionBy("t"))).alias("share"))
@@ -231,7 +242,7 @@ class Relational(Family):
     hourly_rows: tuple[tuple[int, int], ...] = ((720, 432), (2160, 1296))
 
     def compute(self, ctx):
-        d = dense_panel(ctx).join(F.broadcast(ctx.scan("sectors")), "symbol", "left")
+        d = dense_panel(ctx).join(ctx.scan("sectors"), "symbol", "left")
         spans = {1: F.col("e8")} | {k: wn.rolling("sum", "e8", row(k), k) for k in (3, 9, 21)}
         d = d.withColumns({f"x{k}": v for k, v in spans.items()} | {"l8": lag("e8")})
         d = d.withColumns({f"rel{k}": F.col(f"x{k}") - xs.peer_mean(f"x{k}", ["t", "g"]) for k in spans})
@@ -243,7 +254,7 @@ class Relational(Family):
         d = d.withColumn("dev", dev).withColumns({
             "sector_rel_reversal_8h": -F.col("rel1"), "sector_rel_agreement": -(F.col("rel1") + F.col("rel3") + F.col("rel9") + F.col("rel21")) / 4,
             "sector_dispersion": F.when(F.count("e8").over(sec) >= 2, F.stddev_samp("e8").over(sec)), "dispersion_contribution": div("dev", F.sum("dev").over(bar)),
-            "corr_btc_8h_90d": wn.rolling_corr("r", "btc_resid_lag_r", row(270), 162),
+            "corr_btc_8h_90d": wn.rolling_corr("r", "btc_resid_lag_r", self.row(270), self.m(162)),
         })
         h = self.hourly(ctx)
         d = asof_join(d, h, S, "t", "t", ["coin_sector_corr", "sector_belonging", "sector_decoupling"], tolerance=ctx.step, skip_null=True).drop("asof_time")
@@ -255,20 +266,20 @@ class Relational(Family):
         """Hourly residuals on a whole-hour grid: r - beta r_m with the beta known at the hour."""
         h = ctx.scan("hourly").filter("r is not null and r_m is not null").groupBy("symbol", (F.ceil(F.col("t") / F.lit(HOUR)).cast("bigint") * HOUR).alias("t")).agg(F.sum("r").alias("r"), F.max("r_m").alias("r_m"))
         h = asof_join(h, ctx.scan("betas"), S, "t", "t", ["beta"], skip_null=True).withColumn("u", F.col("r") - F.col("beta") * F.col("r_m"))
-        return h.select("symbol", "t", "u").join(F.broadcast(ctx.scan("sectors")), "symbol", "left")
+        return h.select("symbol", "t", "u").join(ctx.scan("sectors"), "symbol", "left")
 
     def hourly(self, ctx) -> DataFrame:
         h = self.residuals(ctx)
         h = h.withColumns({"peers": xs.peer_mean("u", ["t", "g"]), "others": xs.outside_mean("u", ["t"], ["g"])})
         (n1, m1), (n2, m2) = self.hourly_rows
-        h = h.withColumns({"coin_sector_corr": wn.rolling_corr("u", "peers", row(n2), m2), "c1": wn.rolling_corr("u", "peers", row(n1), m1), "co": wn.rolling_corr("u", "others", row(n2), m2)})
+        h = h.withColumns({"coin_sector_corr": wn.rolling_corr("u", "peers", self.row(n2), self.m(m2)), "c1": wn.rolling_corr("u", "peers", self.row(n1), self.m(m1)), "co": wn.rolling_corr("u", "others", self.row(n2), self.m(m2))})
         return h.select("symbol", "t", "coin_sector_corr", (F.col("coin_sector_corr") - F.col("co")).alias("sector_belonging"), (F.col("c1") - F.col("coin_sector_corr")).alias("sector_decoupling"))
 
     def cohesion(self, ctx) -> DataFrame:
         """Mean pairwise rolling correlation inside each sector. Pairs are those of a sector's members at one hour."""
         h = self.residuals(ctx).filter("u is not null")
         a, b = h.select("g", "t", F.col("symbol").alias("a"), F.col("u").alias("ua")), h.select("g", "t", F.col("symbol").alias("b"), F.col("u").alias("ub"))
-        n, m = self.hourly_rows[-1]
+        n, m = self.k(self.hourly_rows[-1][0]), self.m(self.hourly_rows[-1][1])
         pairs = a.join(b, ["g", "t"]).filter("a < b")
         w = wn.rows(["g", "a", "b"], "t", n)
         return pairs.withColumn("c", wn.rolling_corr("ua", "ub", w, m)).groupBy(F.col("g").alias("gg"), "t").agg(F.avg("c").alias("sector_cohesion"))
@@ -299,8 +310,8 @@ class SpotPerp(Family):
         d = d.withColumns({"basis": div("pc", "sc") - 1, "lq": ln(div("pq", "sq")), "lnn": ln(div("pn", "sn"))})
         d = d.join(self.front(ctx), "t", "left")
         return d.withColumns({
-            "basis_z": z30("basis"), "perp_spot_vol_ratio": z30("lq"), "aggressor_divergence": div("pb", "pq") - div("sb", "sq"),
-            "perp_spot_return_gap": div("pc", lag("pc")) - div("sc", lag("sc")), "perp_spot_tradecount_ratio": z30("lnn"),
+            "basis_z": self.z30("basis"), "perp_spot_vol_ratio": self.z30("lq"), "aggressor_divergence": div("pb", "pq") - div("sb", "sq"),
+            "perp_spot_return_gap": div("pc", lag("pc")) - div("sc", lag("sc")), "perp_spot_tradecount_ratio": self.z30("lnn"),
             "premium_vol": F.sqrt(F.greatest(F.col("m2") - F.col("m1") * F.col("m1"), F.lit(0.0))), "premium_range": div(F.col("ph") - F.col("pl"), F.abs("m1")),
         })
 
@@ -308,7 +319,7 @@ class SpotPerp(Family):
         """corr(perp, spot one row before) - corr(perp one row before, spot) over a long row window of the tape."""
         x = asof_join(tape.select("symbol", "t", F.col("close").alias("p")), spot.select("symbol", "t", F.col("close").alias("s")), S, "t", "t", ["s"]).drop("asof_time")
         x = x.withColumns({"rp": div("p", lag("p")) - 1, "rs": div("s", lag("s")) - 1}).withColumns({"rp1": lag("rp"), "rs1": lag("rs")})
-        n, m = self.minutes
+        n, m = self.k(self.minutes[0]), self.m(self.minutes[1])
         return prefix_corr(prefix_corr(x, "rp", "rs1", n, m, "c1"), "rp1", "rs", n, m, "c2").select("symbol", "t", (F.col("c1") - F.col("c2")).alias("perp_spot_leadlag"))
 
     def front(self, ctx) -> DataFrame:
@@ -340,13 +351,13 @@ class Inherited(Family):
     features = ("resid_lag_8h", "resid_lag_16h", "resid_lag_40h", "resid_sum_5", "resid_sum_20", "realized_vol_zscore_30d", "realized_vol_percentile_90d", "hurst_short_minus_long", "hurst_change")
 
     def compute(self, ctx):
-        d = dense_panel(ctx).withColumn("sd", wn.rolling("std", "e8", row(90), 54))
+        d = dense_panel(ctx).withColumn("sd", wn.rolling("std", "e8", self.row(90), self.m(54)))
         d = d.withColumns({
-            "resid_lag_8h": lag("e8"), "resid_lag_16h": lag("e8", 2), "resid_lag_40h": lag("e8", 5), "resid_sum_5": wn.rolling("sum", "e8", row(5), 3), "resid_sum_20": wn.rolling("sum", "e8", row(20), 12),
-            "realized_vol_zscore_30d": z30("sd"), "realized_vol_percentile_90d": wn.pct_rank_last("sd", row(270), 162),
+            "resid_lag_8h": lag("e8"), "resid_lag_16h": lag("e8", 2), "resid_lag_40h": lag("e8", 5), "resid_sum_5": wn.rolling("sum", "e8", self.row(5), self.m(3)), "resid_sum_20": wn.rolling("sum", "e8", self.row(20), self.m(12)),
+            "realized_vol_zscore_30d": self.z30("sd"), "realized_vol_percentile_90d": wn.pct_rank_last("sd", self.row(270), self.m(162)),
         })
-        d = wn.hurst(wn.hurst(d, "e8", S, "t", 90, 54, "h90"), "e8", S, "t", 270, 162, "h270")
-        return d.withColumns({"hurst_short_minus_long": F.col("h90") - F.col("h270"), "hurst_change": F.col("h90") - lag("h90", 90)})
+        d = wn.hurst(wn.hurst(d, "e8", S, "t", self.k(90), self.m(54), "h90"), "e8", S, "t", self.k(270), self.m(162), "h270")
+        return d.withColumns({"hurst_short_minus_long": F.col("h90") - F.col("h270"), "hurst_change": F.col("h90") - lag("h90", self.k(90))})
 
 
 class Inherited2(Family):
@@ -354,10 +365,10 @@ class Inherited2(Family):
     features = ("max_daily_ret_30d", "realized_vol_ratio_1h_24h", "beta_change_3d_7d", "bar_range_zscore_30d", "bar_close_location", "bpv_zscore_30d", "basis_abs", "basis_acceleration", "funding_rate_change", "funding_rate_lag_1", "funding_rate_lag_2")
 
     def compute(self, ctx):
-        d = dense_panel(ctx).withColumns({"day": div("px", lag("px", 3)) - 1, "e3": wn.rolling("sum", "e8", row(3), 3)})
+        d = dense_panel(ctx).withColumns({"day": div("px", lag("px", 3)) - 1, "e3": wn.rolling("sum", "e8", self.row(3), self.m(3))})
         h = ctx.scan("hourly").select("symbol", "t", "r", "r_m")
-        b3, b7 = wn.rolling_ols("r", "r_m", row(72), 43)["beta"], wn.rolling_ols("r", "r_m", row(168), 100)["beta"]
-        h = h.withColumns({"sd1h": wn.rolling("std", "r", row(720), 432), "beta_change_3d_7d": b3 - b7}).select("symbol", "t", "sd1h", "beta_change_3d_7d")
+        b3, b7 = wn.rolling_ols("r", "r_m", self.row(72), self.m(43))["beta"], wn.rolling_ols("r", "r_m", self.row(168), self.m(100))["beta"]
+        h = h.withColumns({"sd1h": wn.rolling("std", "r", self.row(720), self.m(432)), "beta_change_3d_7d": b3 - b7}).select("symbol", "t", "sd1h", "beta_change_3d_7d")
         d = asof_join(d, h, S, "t", "t", ["sd1h", "beta_change_3d_7d"]).drop("asof_time")
         t = tape_returns(ctx.scan("tape"))
         b = t.groupBy("symbol", bucket(ctx)).agg(F.max("high").alias("hi"), F.min("low").alias("lo"), F.max_by("close", "t").alias("cl"), F.sum(F.abs(F.col("ret")) * F.abs(F.col("ret1"))).alias("bp"), F.sum(F.col("ret") * F.col("ret")).alias("rv"))
@@ -368,9 +379,9 @@ class Inherited2(Family):
         d = asof_join(d, f, S, "t", "t", ["funding_rate_change", "funding_rate_lag_1", "funding_rate_lag_2"]).drop("asof_time")
         d = d.withColumns({"range": div(F.col("hi") - F.col("lo"), "cl"), "bpv": div(F.col("bp") * (math.pi / 2), "rv"), "basis": div("pc", "sc") - 1})
         return d.withColumns({
-            "max_daily_ret_30d": wn.rolling("max", "day", row(90), 54),
-            "realized_vol_ratio_1h_24h": div(div(F.col("sd1h") * math.sqrt(8), "sigma"), wn.rolling("std", "e3", row(90), 54) / math.sqrt(3)),
-            "bar_range_zscore_30d": z30("range"), "bar_close_location": div(F.col("cl") - F.col("lo"), F.col("hi") - F.col("lo")), "bpv_zscore_30d": z30("bpv"),
+            "max_daily_ret_30d": wn.rolling("max", "day", self.row(90), self.m(54)),
+            "realized_vol_ratio_1h_24h": div(div(F.col("sd1h") * math.sqrt(8), "sigma"), wn.rolling("std", "e3", self.row(90), self.m(54)) / math.sqrt(3)),
+            "bar_range_zscore_30d": self.z30("range"), "bar_close_location": div(F.col("cl") - F.col("lo"), F.col("hi") - F.col("lo")), "bpv_zscore_30d": self.z30("bpv"),
             "basis_abs": F.abs("basis"), "basis_acceleration": F.col("basis") - 2 * lag("basis") + lag("basis", 2),
         })
 

@@ -81,7 +81,7 @@ def book_weights(scored: DataFrame, cfg: BookConfig = BookConfig()) -> DataFrame
 def turnover(weights: DataFrame) -> DataFrame:
     """t, turnover: sum of absolute changes from the bar before; absent members weigh 0, the first bar moves its whole gross."""
     order = weights.select("t").distinct().withColumn("nxt", F.lead("t").over(W.orderBy("t")))
-    past = weights.join(F.broadcast(order), "t").filter("nxt is not null").select(F.col("nxt").alias("t"), "symbol", (-F.col("w")).alias("w"))
+    past = weights.join(order, "t").filter("nxt is not null").select(F.col("nxt").alias("t"), "symbol", (-F.col("w")).alias("w"))
     return weights.select("t", "symbol", "w").unionByName(past).groupBy("t", "symbol").agg(F.sum("w").alias("d")).groupBy("t").agg(F.sum(F.abs("d")).alias("turnover"))
 
 

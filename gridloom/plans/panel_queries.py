@@ -561,7 +561,7 @@ def rank_autocorr(spark, sf):
     b = book(spark, sf).withColumn("p", xs.pct_rank("score", BAR))
     order = b.select("t").distinct().withColumn("prev", F.lag("t").over(W.orderBy("t")))
     w = wn.along(KEY, "t")
-    x = b.select("t", "p", F.lag("p").over(w).alias("q"), F.lag("t").over(w).alias("tq")).join(F.broadcast(order), "t").filter("prev = tq")
+    x = b.select("t", "p", F.lag("p").over(w).alias("q"), F.lag("t").over(w).alias("tq")).join(order, "t").filter("prev = tq")
     return x.groupBy("t").agg(r(corr("p", "q")).alias("rho"), F.count(F.lit(1)).alias("n")).filter("n >= 8")
 
 
@@ -571,7 +571,7 @@ def book_turnover(spark, sf):
     b = book(spark, sf).withColumn("p", xs.pct_rank("score", BAR)).withColumn("d", xs.demean("p", BAR))
     w = b.select("t", "symbol", xs.gross_one("d", BAR).alias("w"))
     order = b.select("t").distinct().withColumn("nxt", F.lead("t").over(W.orderBy("t")))
-    past = w.join(F.broadcast(order), "t").filter("nxt is not null").select(F.col("nxt").alias("t"), "symbol", (-F.col("w")).alias("w"))
+    past = w.join(order, "t").filter("nxt is not null").select(F.col("nxt").alias("t"), "symbol", (-F.col("w")).alias("w"))
     return w.unionByName(past).groupBy("t", "symbol").agg(F.sum("w").alias("d")).groupBy("t").agg(r(F.sum(F.abs("d"))).alias("moved"))
 
 

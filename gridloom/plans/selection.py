@@ -166,7 +166,7 @@ def sampled_instants(df: DataFrame, t: str, every: int) -> DataFrame:
     from pyspark.sql import Window as W
 
     keep = df.select(t).distinct().withColumn("__n", F.row_number().over(W.orderBy(t))).filter((F.col("__n") - 1) % every == 0).select(t)
-    return df.join(F.broadcast(keep), t)
+    return df.join(keep, t)
 
 
 def seeded_sample(df: DataFrame, key: list[str], n: int, seed: int) -> DataFrame:
