@@ -386,6 +386,31 @@ def hurst(n: int, m: int) -> str:
 
 _HBASE = "select symbol, t, e8, " + ", ".join(f"pow(y - lag(y, {k}) over (partition by symbol order by t), 2) as d{k}" for k in (1, 2, 4, 8, 16)) + f", {roll('stddev_samp', 90, 54, 'e8')} as sd from (select *, case when e8 is not null then sum(coalesce(e8, 0)) over (partition by symbol order by t) end as y from e8)"
 
+_HOURS = "select symbol, t, max(ret) as r, max(case when not isnan(r_m) and not isinf(r_m) then r_m end) as r_m from returns_1h where abs(ret) < 0.5 and symbol is not null group by symbol, t"
+
+
+def ols_beta(n: int, m: int) -> str:
+    n, m = max(2, round(n * SCALE)), max(2, round(m * SCALE))
+    w = f"over (partition by symbol order by t rows between {n - 1} preceding and current row)"
+    return f"case when regr_count(r, r_m) {w} >= {m} then regr_sxy(r, r_m) {w} / nullif(regr_sxx(r, r_m) {w}, 0) end"
+
+
+_IH = "select symbol, t, " + roll("stddev_samp", 720, 432, "r") + " as sd1h, (" + ols_beta(72, 43) + ") - (" + ols_beta(168, 100) + ") as db from hours"
+_IB = "select symbol, bar as t, max(high) as hi, min(low) as lo, arg_max(close, t) as cl, sum(abs(ret) * abs(ret1)) as bp, sum(r2) as rv from tret group by symbol, bar"
+_IF = "select symbol, t, rate, rate - lag(rate) over w as d, lag(rate) over w as l1, lag(rate, 2) over w as l2 from (select symbol, t, funding as rate from book) window w as (partition by symbol order by t)"
+_ID = "select x.*, h.sd1h, h.db, b.* exclude (symbol, t), s.o as sc, s.c as pc, f.d, f.l1, f.l2 from (select e8.symbol, e8.t, e8.px, e8.sigma, px / nullif(lag(px, 3) over w, 0) - 1 as day, case when count(e8) over (partition by symbol order by t rows between 2 preceding and current row) >= 3 then sum(e8) over (partition by symbol order by t rows between 2 preceding and current row) end as e3 from e8 window w as (partition by symbol order by t)) x left join ib b using (symbol, t) asof left join ih h on h.symbol = x.symbol and x.t >= h.t asof left join (select symbol, t, open as o, close as c from ftape) s on s.symbol = x.symbol and x.t >= s.t asof left join iff f on f.symbol = x.symbol and x.t >= f.t"
+_IZ = "select *, (hi - lo) / nullif(cl, 0) as rng, bp * 1.5707963267948966 / nullif(rv, 0) as bpv, pc / nullif(sc, 0) - 1 as basis from idd"
+
+# Family C: the taker flow is needed besides.
+_CTAPE = _FTAPE.replace("max(trade_count)", "max(case when not isnan(taker_buy_quote_volume) and not isinf(taker_buy_quote_volume) then taker_buy_quote_volume end) as tb, max(trade_count)")
+_CRET = _TRET.replace("select *, ret * ret as r2", "select *, 2 * tb - quote_volume as signed, ret * ret as r2")
+_CB = "select symbol, bar as t, count(case when ret = 0 then 1 end) as zero, sum(case when ret1 is not null then ret end) as sx, sum(case when ret is not null then ret1 end) as sy, sum(ret * ret1) as sxy, count(ret * ret1) as n1, count(ret) as n, var_pop(signed) as vs, covar_pop(ret, signed) as cs, sum(signed) as net, sum(quote_volume) as qs, max(high) as hi, min(low) as lo from tret group by symbol, bar"
+_CQ = "select symbol, cast(ceil(t / 28800000.0) as bigint) * 28800000 as t, sum(case when p is not null then p1 end) as qx, sum(case when p1 is not null then p end) as qy, sum(p * p1) as qxy, sum(case when p is not null then p1 * p1 end) as qxx, count(p * p1) as qn from (select symbol, t, p, lag(p) over (partition by symbol order by t) as p1 from (select symbol, t, close / nullif(open, 0) - 1 as p from ftape)) group by all"
+_CD = "select g.symbol, g.t, b.* exclude (symbol, t), q.* exclude (symbol, t) from (" + _GRID + ") g left join cb b using (symbol, t) left join cq q using (symbol, t)"
+_CW = "select *, " + ", ".join(f"sum({c}) over w3 as w_{c}" for c in ("sx", "sy", "sxy", "n1", "qx", "qy", "qxy", "qxx", "qn")) + ", abs(net) / nullif(qs, 0) as vpin, lag(hi) over w as hi1, lag(lo) over w as lo1 from cd window w3 as (partition by symbol order by t rows between 2 preceding and current row), w as (partition by symbol order by t)"
+_CZ = "select *, w_sxy / nullif(w_n1, 0) - w_sx / nullif(w_n1, 0) * (w_sy / nullif(w_n1, 0)) as cov, case when b2 is not null and g2 is not null then greatest(2 * (exp(a) - 1) / (1 + exp(a)), 0) end as cs1 from (select *, (sqrt(2 * b2) - sqrt(b2)) / 0.1715728752538097 - sqrt(g2 / 0.1715728752538097) as a from (select *, pow(ln(hi / nullif(lo, 0)), 2) + pow(ln(hi1 / nullif(lo1, 0)), 2) as b2, pow(ln(greatest(hi, hi1) / nullif(least(lo, lo1), 0)), 2) as g2 from cw))"
+
+DIGITS = {"realized_vol_ratio_1h_24h": 5, "bar_range_zscore_30d": 5, "bpv_zscore_30d": 5, "vpin_perp_z": 5, "premium_reversion_speed": 4}  # where cancellation leaves fewer
 FEATURE_SQL = {
     "D": sql(
         _only("", "select symbol, t, case when ok then round((lt - a1) - (lv - a2), 6) end as retail_attention_div, case when ok then round(vol2 / nullif(vol * vol, 0), 6) end as volume_concentration, case when ok then round(last / nullif(qvs / nullif(vol, 0), 0) - 1, 6) end as close_vs_vwap, case when ok then round((early - late) / nullif(sabs, 0), 6) end as move_timing, case when ok then round(sqrt(n) * s3 / nullif(pow(s2, 1.5), 0), 6) end as realized_skew, case when ok then round(n * s4 / nullif(s2 * s2, 0), 6) end as realized_kurt, case when ok then round(sqrt(hl2 / nullif(nhl * 2.772588722239781, 0)) / nullif(sqrt(s2 / n), 0), 6) end as parkinson_ratio, case when ok and nc >= 3 then round(cq / nullif(sq, 0), 6) end as volume_return_coupling from (select *, n >= 6 as ok, " + roll("avg", 90, 54, "lt") + " as a1, " + roll("avg", 90, 54, "lv") + " as a2 from fd)"),
@@ -405,13 +430,21 @@ FEATURE_SQL = {
         fund1="select *, sum(fresh) over (partition by symbol order by t) as grp from fund0",
         fund="select symbol, t, cast(row_number() over (partition by symbol, grp order by t) * s as bigint) as run, " + z30("rate") + " as z, " + roll("sum", 21, 12, "rate") + " as cum from fund1",
     ),
+    "I": sql(
+        _only("", "select symbol, t, round(mx, 6) as max_daily_ret_30d, round(sd1h * 2.8284271247461903 / nullif(sigma, 0) / nullif(sd3 / 1.7320508075688772, 0), 5) as realized_vol_ratio_1h_24h, round(db, 6) as beta_change_3d_7d, round(zr, 5) as bar_range_zscore_30d, round((cl - lo) / nullif(hi - lo, 0), 6) as bar_close_location, round(zb, 5) as bpv_zscore_30d, round(abs(basis), 6) as basis_abs, round(basis - 2 * lag(basis) over w + lag(basis, 2) over w, 6) as basis_acceleration, round(d, 6) as funding_rate_change, round(l1, 6) as funding_rate_lag_1, round(l2, 6) as funding_rate_lag_2 from (select *, " + roll("max", 90, 54, "day") + " as mx, " + roll("stddev_samp", 90, 54, "e3") + " as sd3, " + z30("rng") + " as zr, " + z30("bpv") + " as zb from iz) window w as (partition by symbol order by t)"),
+        dense=_DENSE, e8=_E8, ftape=_FTAPE, tret=_TRET, hours=_HOURS, ih=_IH, ib=_IB, iff=_IF, idd=_ID, iz=_IZ,
+    ),
+    "C": sql(
+        _only("", "select symbol, t, zero::double as zero_return_minutes, case when w_n1 >= 3 then round(case when cov < 0 then 2 * sqrt(abs(cov)) else 0 end, 6) end as roll_spread, case when n >= 3 then round(cs / nullif(vs, 0), 6) end as kyle_lambda, round(" + z30("vpin") + ", 5) as vpin_perp_z, round(" + roll("avg", 90, 54, "cs1") + ", 6) as corwin_schultz, case when w_qn >= 3 then round((w_qn * w_qxy - w_qx * w_qy) / nullif(w_qn * w_qxx - w_qx * w_qx, 0), 4) end as premium_reversion_speed from cz"),
+        ftape=_CTAPE, tret=_CRET, cb=_CB, cq=_CQ, cd=_CD, cw=_CW, cz=_CZ,
+    ),
 }
 
 
 def _family(name: str):
     def run(spark, sf):
         f = type(FAMILIES[name])(SCALE)
-        return f.build(feature_context(spark, sf)).select("symbol", "t", *[r(c).alias(c) for c in f.features])
+        return f.build(feature_context(spark, sf)).select("symbol", "t", *[r(c, DIGITS.get(c, 6)).alias(c) for c in f.features])
 
     run.__name__ = f"features_{name.lower()}"
     return run
