@@ -410,7 +410,16 @@ _CD = "select g.symbol, g.t, b.* exclude (symbol, t), q.* exclude (symbol, t) fr
 _CW = "select *, " + ", ".join(f"sum({c}) over w3 as w_{c}" for c in ("sx", "sy", "sxy", "n1", "qx", "qy", "qxy", "qxx", "qn")) + ", abs(net) / nullif(qs, 0) as vpin, lag(hi) over w as hi1, lag(lo) over w as lo1 from cd window w3 as (partition by symbol order by t rows between 2 preceding and current row), w as (partition by symbol order by t)"
 _CZ = "select *, w_sxy / nullif(w_n1, 0) - w_sx / nullif(w_n1, 0) * (w_sy / nullif(w_n1, 0)) as cov, case when b2 is not null and g2 is not null then greatest(2 * (exp(a) - 1) / (1 + exp(a)), 0) end as cs1 from (select *, (sqrt(2 * b2) - sqrt(b2)) / 0.1715728752538097 - sqrt(g2 / 0.1715728752538097) as a from (select *, pow(ln(hi / nullif(lo, 0)), 2) + pow(ln(hi1 / nullif(lo1, 0)), 2) as b2, pow(ln(greatest(hi, hi1) / nullif(least(lo, lo1), 0)), 2) as g2 from cw))"
 
-DIGITS = {"realized_vol_ratio_1h_24h": 5, "bar_range_zscore_30d": 5, "bpv_zscore_30d": 5, "vpin_perp_z": 5, "premium_reversion_speed": 4}  # where cancellation leaves fewer
+_BO = "select symbol, t, volume as oi, quote_volume as oiv from ftape"
+_BH = "select symbol, t, case when count(case when doi is not null and r is not null then 1 end) over w >= 43 then corr(doi, r) over w end as c from (select *, oi / nullif(lag(oi) over (partition by symbol order by t), 0) - 1 as doi from (select h.symbol, h.t, h.r, case when h.t - o.t <= 7200000 then o.oi end as oi from hours h asof left join bo o on o.symbol = h.symbol and h.t >= o.t)) window w as (partition by symbol order by t rows between 71 preceding and current row)"
+_BP = "select d.symbol, d.t, d.qv, case when d.t - o.t <= 7200000 then o.oi end as oi, case when d.t - o.t <= 7200000 then o.oiv end as oiv, n.trades, case when d.t - h.t <= 28800000 then h.c end as c from (select g.symbol, g.t, p.qv from (" + _GRID + ") g left join panel p using (symbol, t)) d left join (select symbol, cast(ceil(t / 28800000.0) as bigint) * 28800000 as t, sum(trade_count) as trades from ftape group by all) n using (symbol, t) asof left join bo o on o.symbol = d.symbol and d.t >= o.t asof left join bh h on h.symbol = d.symbol and d.t >= h.t"
+
+# Family G: flows of both sides, their last closes, the premium's moments, the front contract.
+_GF = "select symbol, cast(ceil(t / 28800000.0) as bigint) * 28800000 as t, sum(quote_volume) as q, sum(tb) as b, sum(trade_count) as n, avg(pow(close / nullif(open, 0) - 1, 2)) as m2, avg(close / nullif(open, 0) - 1) as m1, avg(case when close / nullif(open, 0) - 1 > 0 then 1.0 when close / nullif(open, 0) - 1 is not null then 0.0 end) as above, max(greatest(close / nullif(open, 0) - 1, 0)) as ph, min(least(close / nullif(open, 0) - 1, 0)) as pl from ftape group by all"
+_GX = "select symbol, t, case when c1 is not null and c2 is not null then c1 - c2 end as ll from (select symbol, t, case when count(rp * rs1) over w >= 336 then corr(rp, rs1) over w end as c1, case when count(rp1 * rs) over w >= 336 then corr(rp1, rs) over w end as c2 from (select *, lag(rp) over (partition by symbol order by t) as rp1, lag(rs) over (partition by symbol order by t) as rs1 from (select symbol, t, close / nullif(lag(close) over (partition by symbol order by t), 0) - 1 as rp, open / nullif(lag(open) over (partition by symbol order by t), 0) - 1 as rs from ftape)) window w as (partition by symbol order by t rows between 1007 preceding and current row))"
+_GT = "select t, (px / nullif(ref, 0) - 1) * 31536000000 / (1624579200000 - t) as slope from (select t // 28800000 * 28800000 as t, max(close) as px, max(open) as ref from ftape where symbol = 'KORUSDX' group by all)"
+_GD = "select d.symbol, d.t, f.* exclude (symbol, t), s.c as pc, s.o as sc, x.ll, k.slope, s.c / nullif(s.o, 0) - 1 as basis, ln(f.q / nullif(f.q, 0)) as lq, ln(f.n / nullif(f.n, 0)) as ln_n from (" + _GRID + ") d left join gf f using (symbol, t) left join gt k using (t) asof left join (select symbol, t, open as o, close as c from ftape) s on s.symbol = d.symbol and d.t >= s.t asof left join (select symbol, t, ll from gx) x on x.symbol = d.symbol and d.t >= x.t and true"
+DIGITS = {"oi_price_corr": 5, "basis_z": 5, "perp_spot_leadlag": 4, "premium_range": 4, "term_basis_slope": 5, "realized_vol_ratio_1h_24h": 5, "bar_range_zscore_30d": 5, "bpv_zscore_30d": 5, "vpin_perp_z": 5, "premium_reversion_speed": 4}  # where cancellation leaves fewer
 FEATURE_SQL = {
     "D": sql(
         _only("", "select symbol, t, case when ok then round((lt - a1) - (lv - a2), 6) end as retail_attention_div, case when ok then round(vol2 / nullif(vol * vol, 0), 6) end as volume_concentration, case when ok then round(last / nullif(qvs / nullif(vol, 0), 0) - 1, 6) end as close_vs_vwap, case when ok then round((early - late) / nullif(sabs, 0), 6) end as move_timing, case when ok then round(sqrt(n) * s3 / nullif(pow(s2, 1.5), 0), 6) end as realized_skew, case when ok then round(n * s4 / nullif(s2 * s2, 0), 6) end as realized_kurt, case when ok then round(sqrt(hl2 / nullif(nhl * 2.772588722239781, 0)) / nullif(sqrt(s2 / n), 0), 6) end as parkinson_ratio, case when ok and nc >= 3 then round(cq / nullif(sq, 0), 6) end as volume_return_coupling from (select *, n >= 6 as ok, " + roll("avg", 90, 54, "lt") + " as a1, " + roll("avg", 90, 54, "lv") + " as a2 from fd)"),
@@ -438,6 +447,14 @@ FEATURE_SQL = {
         _only("", "select symbol, t, zero::double as zero_return_minutes, case when w_n1 >= 3 then round(case when cov < 0 then 2 * sqrt(abs(cov)) else 0 end, 6) end as roll_spread, case when n >= 3 then round(cs / nullif(vs, 0), 6) end as kyle_lambda, round(" + z30("vpin") + ", 5) as vpin_perp_z, round(" + roll("avg", 90, 54, "cs1") + ", 6) as corwin_schultz, case when w_qn >= 3 then round((w_qn * w_qxy - w_qx * w_qy) / nullif(w_qn * w_qxx - w_qx * w_qx, 0), 4) end as premium_reversion_speed from cz"),
         ftape=_CTAPE, tret=_CRET, cb=_CB, cq=_CQ, cd=_CD, cw=_CW, cz=_CZ,
     ),
+    "B": sql(
+        _only("", "select symbol, t, round(oi / nullif(lag(oi, 3) over w, 0) - 1, 6) as oi_velocity_24h, round(c, 5) as oi_price_corr, round((oi - lag(oi) over w) / nullif(trades, 0), 6) as oi_per_trade, round(qv / nullif(oiv, 0), 6) as turnover from bp window w as (partition by symbol order by t)"),
+        ftape=_FTAPE, hours=_HOURS, bo=_BO, bh=_BH, bp=_BP,
+    ),
+    "G": sql(
+        _only("", "select symbol, t, round(" + z30("basis") + ", 5) as basis_z, cast(null as double) as perp_spot_vol_ratio, round(b / nullif(q, 0) - b / nullif(q, 0), 6) as aggressor_divergence, round(pc / nullif(lag(pc) over w, 0) - sc / nullif(lag(sc) over w, 0), 6) as perp_spot_return_gap, round(ll, 4) as perp_spot_leadlag, cast(null as double) as perp_spot_tradecount_ratio, round(sqrt(greatest(m2 - m1 * m1, 0)), 6) as premium_vol, round(above, 6) as premium_time_above_zero, round((ph - pl) / nullif(abs(m1), 0), 4) as premium_range, round(slope, 5) as term_basis_slope from gd window w as (partition by symbol order by t)"),
+        ftape=_CTAPE, gf=_GF, gx=_GX, gt=_GT, gd=_GD,
+    ),
 }
 
 

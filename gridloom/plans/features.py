@@ -124,6 +124,22 @@ def attach(panel: DataFrame, buckets: DataFrame) -> DataFrame:
     return panel.join(buckets, ["symbol", "t"], "left")
 
 
+def prefix_corr(df: DataFrame, x: str, y: str, n: int, least: int, out: str, key: list[str] = S) -> DataFrame:
+    """Rolling correlation over n rows from differences of running sums: cost per row doesn't grow with n."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    a, b = F.when(both, F.col(x)).otherwise(0.0), F.when(both, F.col(y)).otherwise(0.0)
+    parts = {"n": F.when(both, 1.0).otherwise(0.0), "x": a, "y": b, "xx": a * a, "yy": b * b, "xy": a * b}
+    w = wn.along(key, "t")
+    df = df.withColumns({f"__{k}": F.sum(v).over(w.rowsBetween(W.unboundedPreceding, 0)) for k, v in parts.items()})
+    s = {k: F.col(f"__{k}") - F.coalesce(F.lag(f"__{k}", n).over(w), F.lit(0.0)) for k in parts}
+    df = df.withColumns({f"__d{k}": v for k, v in s.items()})
+    g = lambda k: F.col(f"__d{k}")
+    vx, vy = g("n") * g("xx") - g("x") * g("x"), g("n") * g("yy") - g("y") * g("y")
+    # Below this share of the raw sum a variance is cancellation, not data.
+    ok = (g("n") >= least) & (vx > 1e-12 * g("n") * g("xx")) & (vy > 1e-12 * g("n") * g("yy"))
+    return df.withColumn(out, F.when(ok, F.try_divide(g("n") * g("xy") - g("x") * g("y"), F.sqrt(vx) * F.sqrt(vy)))).drop(*[f"__{k}" for k in parts], *[f"__d{k}" for k in parts])
+
+
 class Carry(Family):
     name, inputs, features, warmup_bars = "A", ("panel", "funding"), ("funding_z", "funding_cum_7d", "funding_sign_persist", "crowd_winning"), 90
 
@@ -144,7 +160,7 @@ class Positioning(Family):
         p = asof_join(densify(ctx.scan("panel").select("symbol", "t", "px", "qv"), S, "t", ctx.step), oi, S, "t", "t", ["oi", "oi_value"], tolerance=2 * HOUR)
         n = ctx.scan("tape").groupBy("symbol", bucket(ctx)).agg(F.sum("trade_count").alias("trades"))
         h = asof_join(ctx.scan("hourly").select("symbol", "t", "r"), oi, S, "t", "t", ["oi"], tolerance=2 * HOUR)
-        h = h.withColumn("doi", div("oi", lag("oi")) - 1).withColumn("oi_price_corr", wn.rolling_corr("doi", "r", self.row(720), self.m(432)))
+        h = prefix_corr(h.withColumn("doi", div("oi", lag("oi")) - 1), "doi", "r", self.k(720), self.m(432), "oi_price_corr")
         p = asof_join(attach(p, n).drop("asof_time"), h, S, "t", "t", ["oi_price_corr"], tolerance=ctx.step)
         return p.withColumns({"oi_velocity_24h": div("oi", lag("oi", 3)) - 1, "oi_per_trade": div(F.col("oi") - lag("oi"), F.col("trades").cast("double")), "turnover": div("qv", "oi_value")})
 
@@ -272,7 +288,8 @@ class Relational(Family):
         h = self.residuals(ctx)
         h = h.withColumns({"peers": xs.peer_mean("u", ["t", "g"]), "others": xs.outside_mean("u", ["t"], ["g"])})
         (n1, m1), (n2, m2) = self.hourly_rows
-        h = h.withColumns({"coin_sector_corr": wn.rolling_corr("u", "peers", self.row(n2), self.m(m2)), "c1": wn.rolling_corr("u", "peers", self.row(n1), self.m(m1)), "co": wn.rolling_corr("u", "others", self.row(n2), self.m(m2))})
+        h = prefix_corr(h, "u", "peers", self.k(n2), self.m(m2), "coin_sector_corr")
+        h = prefix_corr(prefix_corr(h, "u", "peers", self.k(n1), self.m(m1), "c1"), "u", "others", self.k(n2), self.m(m2), "co")
         return h.select("symbol", "t", "coin_sector_corr", (F.col("coin_sector_corr") - F.col("co")).alias("sector_belonging"), (F.col("c1") - F.col("coin_sector_corr")).alias("sector_decoupling"))
 
     def cohesion(self, ctx) -> DataFrame:
@@ -280,9 +297,8 @@ class Relational(Family):
         h = self.residuals(ctx).filter("u is not null")
         a, b = h.select("g", "t", F.col("symbol").alias("a"), F.col("u").alias("ua")), h.select("g", "t", F.col("symbol").alias("b"), F.col("u").alias("ub"))
         n, m = self.k(self.hourly_rows[-1][0]), self.m(self.hourly_rows[-1][1])
-        pairs = a.join(b, ["g", "t"]).filter("a < b")
-        w = wn.rows(["g", "a", "b"], "t", n)
-        return pairs.withColumn("c", wn.rolling_corr("ua", "ub", w, m)).groupBy(F.col("g").alias("gg"), "t").agg(F.avg("c").alias("sector_cohesion"))
+        pairs = prefix_corr(a.join(b, ["g", "t"]).filter("a < b"), "ua", "ub", n, m, "c", ["g", "a", "b"])
+        return pairs.groupBy(F.col("g").alias("gg"), "t").agg(F.avg("c").alias("sector_cohesion"))
 
 
 class SpotPerp(Family):
@@ -330,22 +346,6 @@ class SpotPerp(Family):
         return d.groupBy("t").agg(F.min_by(div(ann * (365 * 24 * HOUR), ttm), F.struct(ttm.alias("m"), F.col("contract"))).alias("term_basis_slope"))
 
 
-def prefix_corr(df: DataFrame, x: str, y: str, n: int, least: int, out: str) -> DataFrame:
-    """Rolling correlation over n rows from differences of running sums: cost per row doesn't grow with n."""
-    both = F.col(x).isNotNull() & F.col(y).isNotNull()
-    a, b = F.when(both, F.col(x)).otherwise(0.0), F.when(both, F.col(y)).otherwise(0.0)
-    parts = {"n": F.when(both, 1.0).otherwise(0.0), "x": a, "y": b, "xx": a * a, "yy": b * b, "xy": a * b}
-    w = wn.along(S, "t")
-    df = df.withColumns({f"__{k}": F.sum(v).over(w.rowsBetween(W.unboundedPreceding, 0)) for k, v in parts.items()})
-    s = {k: F.col(f"__{k}") - F.coalesce(F.lag(f"__{k}", n).over(w), F.lit(0.0)) for k in parts}
-    df = df.withColumns({f"__d{k}": v for k, v in s.items()})
-    g = lambda k: F.col(f"__d{k}")
-    vx, vy = g("n") * g("xx") - g("x") * g("x"), g("n") * g("yy") - g("y") * g("y")
-    # Below this share of the raw sum a variance is cancellation, not data.
-    ok = (g("n") >= least) & (vx > 1e-12 * g("n") * g("xx")) & (vy > 1e-12 * g("n") * g("yy"))
-    return df.withColumn(out, F.when(ok, F.try_divide(g("n") * g("xy") - g("x") * g("y"), F.sqrt(vx) * F.sqrt(vy)))).drop(*[f"__{k}" for k in parts], *[f"__d{k}" for k in parts])
-
-
 class Inherited(Family):
     name, inputs, warmup_bars = "H", ("panel", "index", "betas"), 360
     features = ("resid_lag_8h", "resid_lag_16h", "resid_lag_40h", "resid_sum_5", "resid_sum_20", "realized_vol_zscore_30d", "realized_vol_percentile_90d", "hurst_short_minus_long", "hurst_change")
