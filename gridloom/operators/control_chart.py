@@ -166,7 +166,7 @@ def chart_readings(readings: DataFrame, source: list[str], time: str, value: str
     sums = both.filter("frozen is null and suspect is null").select(*names, "n", "a", "b", "m0")
     mean = F.try_divide(F.col("a"), F.col("n"))
     normal = sums.select(*names, (F.col("m0") + mean).alias("level"), F.sqrt(F.greatest(F.try_divide(F.col("b"), F.col("n")) - mean * mean, F.lit(0.0))).alias("spread"))
-    out = picked.join(normal, names, "left")
+    out = picked.join(normal, names)  # inner: a left join would filter one side only and part the two
     infinite = F.abs("x") == F.lit(float("inf"))
     far = F.col("suspect") & ~infinite & F.coalesce(F.abs(F.col("x") - F.col("level")) > spec.limit * F.col("spread"), F.lit(False))
     out = out.select(*[F.col(n).alias(c) for c, n in zip(source, names)], F.col("t").alias(time), F.col("x").alias(value), infinite.alias("infinite"), far.alias("spike"), F.col("frozen"))
