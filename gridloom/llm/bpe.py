@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import base64
-import json
 import zlib
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.classic.column import Column as ClassicColumn
 
-from gridloom.operators.skew import lookup_join
+from gridloom.operators.skew import HOT_KEYS
 
 # The pattern that splits text before the merges, with white space spelled out for Java.
 SPACE = r"\t-\r \x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -26,13 +26,27 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(maxsize=4)
-def _slots_json(path: str) -> str:
-    """The rank map as an array of small maps, by CRC-32 of the piece: a lookup compares a few keys, not all."""
+def _slots(path: str) -> list[dict[str, int]]:
+    """The rank map in slots by CRC-32 of the piece: a lookup compares a few keys, not all."""
     slots: list[dict[str, int]] = [{} for _ in range(SLOTS)]
     for piece, rank in read_ranks(path).items():
         key = piece.decode("latin-1")
         slots[zlib.crc32(key.encode()) % SLOTS][key] = rank
-    return json.dumps(slots, separators=(",", ":"))
+    return slots
+
+
+def block_literal(spark: SparkSession, value: list, kind: str) -> Column:
+    """A large array as one literal in Spark's binary form.
+
+    Built from Column functions it would be an object for each entry in every
+    copy of the plan, and printed whole in every event about it: some 400 MB
+    for one query. The value of a one-row table is a single block of bytes
+    (2 MB for the ranks), shared by all copies, and printed by its name.
+    """
+    cell = spark.createDataFrame([(value,)], f"v {kind}")._jdf
+    block = cell.queryExecution().executedPlan().executeCollect()[0].getArray(0)
+    literal = spark._jvm.org.apache.spark.sql.catalyst.expressions.Literal(block, cell.schema().apply(0).dataType())
+    return ClassicColumn(spark._jvm.org.apache.spark.sql.classic.ExpressionUtils.column(literal))
 
 
 def encode_words(words: DataFrame, word: str, path: str, out: str) -> DataFrame:
@@ -42,37 +56,40 @@ def encode_words(words: DataFrame, word: str, path: str, out: str) -> DataFrame:
     ``concat``. The rank map is one folded literal. A word that is a piece is its
     own encoding; else a fold merges the adjacent pair of lowest rank (the first
     of equals) until none has a rank, and looks up only the pairs that are new.
+    A merged piece's id is the rank it was merged by.
     """
-    table = F.from_json(F.lit(_slots_json(path)), "array<map<string,int>>")
+    table = block_literal(words.sparkSession, _slots(path), "array<map<string,int>>")
+    strings, numbers = F.array().cast("array<string>"), F.array().cast("array<int>")
 
     def ranks(pieces: Column) -> Column:
-        slot = lambda p: F.pmod(F.crc32(p.cast("binary")), F.lit(SLOTS)).cast("int") + 1
-        return F.transform(pieces, lambda p: F.coalesce(F.element_at(F.element_at(table, slot(p)), p), F.lit(NONE)))
+        slot = lambda p: F.element_at(table, F.pmod(F.crc32(p.cast("binary")), F.lit(SLOTS)).cast("int") + 1)
+        return F.transform(pieces, lambda p: F.coalesce(F.element_at(slot(p), p), F.lit(NONE)))
 
     def merge(state: Column, _: Column) -> Column:
-        p, r = state["p"], state["r"]
+        p, i, r = state["p"], state["i"], state["r"]
 
         def at(m: Column) -> Column:
             k = F.array_position(r, m).cast("int")
             both = F.concat(F.element_at(p, k), F.element_at(p, k + 1))
-            left = F.when(k > 1, F.array(F.concat(F.get(p, k - 2), both))).otherwise(F.array().cast("array<string>"))
-            right = F.when(k + 2 <= F.size(p), F.array(F.concat(both, F.get(p, k + 1)))).otherwise(F.array().cast("array<string>"))
+            left = F.when(k > 1, F.array(F.concat(F.get(p, k - 2), both))).otherwise(strings)
+            right = F.when(k + 2 <= F.size(p), F.array(F.concat(both, F.get(p, k + 1)))).otherwise(strings)
             pieces = F.concat(F.slice(p, 1, k - 1), F.array(both), F.slice(p, k + 2, F.size(p)))
+            ids = F.concat(F.slice(i, 1, k - 1), F.array(m), F.slice(i, k + 2, F.size(i)))
             around = F.concat(F.slice(r, 1, F.greatest(k - 2, F.lit(0))), ranks(F.concat(left, right)), F.slice(r, k + 2, F.size(p)))
-            return F.struct(pieces.alias("p"), around.alias("r"))
+            return F.struct(pieces.alias("p"), ids.alias("i"), around.alias("r"))
 
         low = F.coalesce(F.array_min(r), F.lit(NONE))
-        return F.element_at(F.transform(F.array(low), lambda m: F.when(m == NONE, F.struct(p.alias("p"), r.alias("r"))).otherwise(at(m))), 1)
+        return F.element_at(F.transform(F.array(low), lambda m: F.when(m == NONE, F.struct(p.alias("p"), i.alias("i"), r.alias("r"))).otherwise(at(m))), 1)
 
     latin = F.decode(F.encode(F.col(word), "UTF-8"), "ISO-8859-1")
     rows = words.withColumn("__w", latin).withColumn("__b", F.transform(F.sequence(F.lit(1), F.length("__w")), lambda i: F.substring(F.col("__w"), i, F.lit(1))))
-    pairs = F.when(F.size("__b") > 1, F.transform(F.sequence(F.lit(1), F.size("__b") - 1), lambda i: F.concat(F.element_at(F.col("__b"), i), F.element_at(F.col("__b"), i + 1)))).otherwise(F.array().cast("array<string>"))
-    rows = rows.withColumn("__r", ranks(F.concat(F.array("__w"), pairs)))
+    n = F.size("__b")
+    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.concat(F.element_at(F.col("__b"), i), F.element_at(F.col("__b"), i + 1)))).otherwise(strings)
+    rows = rows.withColumn("__r", ranks(F.concat(F.array("__w"), F.col("__b"), pairs)))  # the word, its bytes, their pairs
+    start = F.struct(F.col("__b").alias("p"), F.slice("__r", 2, n).alias("i"), F.slice("__r", n + 2, n).alias("r"))
+    folded = F.aggregate(F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(numbers), start, merge, lambda s: s["i"])
     whole = F.element_at("__r", 1)
-    start = F.struct(F.col("__b").alias("p"), F.slice("__r", 2, F.size("__b")).alias("r"))
-    pieces = F.aggregate(F.when(F.size("__b") > 1, F.sequence(F.lit(2), F.size("__b"))).otherwise(F.array().cast("array<int>")), start, merge, lambda s: s["p"])
-    rows = rows.withColumn("__p", F.when(whole < NONE, F.array("__w")).otherwise(pieces))
-    return rows.withColumn(out, ranks(F.col("__p"))).drop("__w", "__b", "__r", "__p")
+    return rows.withColumn(out, F.when(whole < NONE, F.array(whole)).otherwise(folded)).drop("__w", "__b", "__r")
 
 
 def split_words(text: Column) -> Column:
@@ -83,8 +100,8 @@ def encode_corpus(docs: DataFrame, doc_id: str, text: str, path: str) -> DataFra
     """Token ids of every document: doc_id, ids (array of int), without special tokens.
 
     Method: texts are split by the vocabulary's pattern; each distinct word is
-    encoded once; ids return to the word's places by a join that broadcasts a
-    fixed number of the most frequent words and shuffles the rest; a
+    encoded once; the ids of a fixed number of the most frequent words reach
+    their places by a broadcast, those of the others by a shuffle join, in which no word is frequent; a
     document's pieces are put together in order.
 
     Defined cases: NULL, empty text: an empty list. Text like a special token
@@ -94,12 +111,14 @@ def encode_corpus(docs: DataFrame, doc_id: str, text: str, path: str) -> DataFra
     rows = docs.select(F.col(f"`{doc_id}`").alias("d"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("x"))
     rows = rows.select("d", F.xxhash64("x").alias("h"), "x")
     words = rows.select("d", "h", F.posexplode(split_words(F.col("x"))).alias("pos", "word"))
-    words = words.groupBy("d", "h", "word").agg(F.collect_set("pos").alias("at"))  # within a document a word travels once
     counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("c"))
-    found = lookup_join(words, counts, ["word"], ["ids"], "c", derive=lambda df: encode_words(df, "word", path, "ids"))
-    pieces = found.groupBy("d", "h").agg(F.collect_list(F.struct("at", "ids")).alias("w"))
-    placed = F.array_sort(F.flatten(F.transform("w", lambda w: F.transform(w["at"], lambda a: F.struct(a.alias("a"), w["ids"].alias("ids"))))))
-    pieces = pieces.select("d", "h", F.flatten(F.transform(placed, lambda s: s["ids"])).alias("ids"))
+    # The most frequent words, a table of fixed size, are answered where their documents are read; only the others travel.
+    hot = F.broadcast(encode_words(counts.orderBy(F.col("c").desc(), "word").limit(HOT_KEYS).select("word"), "word", path, "ids"))
+    near = words.join(hot, "word", "left")
+    far = near.filter("ids is null").drop("ids").join(encode_words(counts.select("word"), "word", path, "ids"), "word")
+    placed = near.filter("ids is not null").select("d", "h", "pos", "ids").unionByName(far.select("d", "h", "pos", "ids"))
+    pieces = placed.groupBy("d", "h").agg(F.array_sort(F.collect_set(F.struct("pos", "ids"))).alias("w"))
+    pieces = pieces.select("d", "h", F.flatten(F.transform("w", lambda w: w["ids"])).alias("ids"))
     every = rows.select("d", "h").distinct()
     return every.join(pieces, ["d", "h"], "left").select(F.col("d").alias(doc_id), F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
 
@@ -108,6 +127,6 @@ def decode_ids(rows: DataFrame, ids: str, path: str, out: str = "text") -> DataF
     """Add ``out``: the binary pieces of the ids, joined in order and read as UTF-8."""
     pieces = {rank: piece for piece, rank in read_ranks(path).items()}
     top = max(pieces) + 1
-    table = F.from_json(F.lit(json.dumps([pieces.get(i, b"").hex() for i in range(top)], separators=(",", ":"))), "array<string>")
+    table = block_literal(rows.sparkSession, [pieces.get(i, b"").hex() for i in range(top)], "array<string>")
     joined = F.array_join(F.transform(F.col(ids), lambda i: F.element_at(table, i + 1)), "")
     return rows.withColumn(out, F.decode(F.unhex(joined), "UTF-8"))
