@@ -20,6 +20,12 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, dealt out evenly if their file has fewer splits than there are cores. A corpus of many splits isn't moved."""
+    docs, cores = _read(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def p3_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best symbols of each t_obs with score and rank."""
     return top_n(_read(spark, sf_dir, "oof_book_inputs"), "t_obs", "symbol", "score", 5)
@@ -35,7 +41,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
-    return encode_corpus(_read(spark, sf_dir, "documents"), "doc_id", "text", f"{tokenizers}/byte_bpe_50k.tiktoken")
+    return encode_corpus(_documents(spark, sf_dir), "doc_id", "text", f"{tokenizers}/byte_bpe_50k.tiktoken")
 
 
 def p8_round_trip(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
@@ -48,17 +54,17 @@ def p8_round_trip(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_leaks(_read(spark, sf_dir, "documents"), "doc_id", "text", _read(spark, sf_dir, "heldout_items"), "item_id", "text").select("doc_id", "item_id")
+    return find_leaks(_documents(spark, sf_dir), "doc_id", "text", _read(spark, sf_dir, "heldout_items"), "item_id", "text").select("doc_id", "item_id")
 
 
 def p10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The languages of every document with words, with confidence."""
-    out = identify(_read(spark, sf_dir, "documents"), "doc_id", "text", "lang", fit_profiles(_read(spark, sf_dir, "lang_samples"), "lang", "text"))
+    out = identify(_documents(spark, sf_dir), "doc_id", "text", "lang", fit_profiles(_read(spark, sf_dir, "lang_samples"), "lang", "text"))
     return out.withColumn("confidence", F.round("confidence", 6))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relabelled(_read(spark, sf_dir, "documents"), "doc_id", "text", "lang", fit_profiles(_read(spark, sf_dir, "lang_samples"), "lang", "text")).select("doc_id", "lang")
+    return relabelled(_documents(spark, sf_dir), "doc_id", "text", "lang", fit_profiles(_read(spark, sf_dir, "lang_samples"), "lang", "text")).select("doc_id", "lang")
 
 
 QUERIES = {"p3_found": p3_found, "p3_ranked": p3_ranked, "p6_found": p6_found, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_found": p9_found, "p10_found": p10_found, "p10_languages": p10_languages}
