@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.stats import corr, probabilistic_sharpe
 from gridloom.operators import windows as wn
-from gridloom.operators.containers import instant_ms, latest_record
+from gridloom.operators.containers import instant_ms, latest_record, period_parts
 from gridloom.plans import gates, market, selection, splits
 from gridloom.plans.base import STEP, bars, betas, book, clean, index, labels, panel, read, sql
 from gridloom.plans.features import FAMILIES, Context
@@ -304,9 +304,12 @@ def manifest_summary(spark, sf):
 
 @query("select key from (select *, max(case when gran = 'monthly' then m end) over (partition by dataset, symbol) as last from (select distinct key, dataset, symbol, trim(period) as p, substr(trim(period), 1, 7) as m, case when length(trim(period)) > 7 then 'daily' else 'monthly' end as gran from files where regexp_matches(trim(period), '^\\d{4}-\\d{2}(-\\d{2})?$'))) x where (gran = 'monthly' or last is null or m > last) and m >= '2021-01' and not exists (select 1 from files f where f.status = 'converted' and f.key = x.key)")
 def manifest_plan(spark, sf):
-    f = read(spark, sf, "files").withColumn("period", F.trim("period")).filter(F.col("period").rlike(r"^\d{4}-\d{2}(-\d{2})?$"))
-    wanted = f.select("key", "dataset", "symbol", "period", F.when(F.length("period") > 7, "daily").otherwise("monthly").alias("granularity")).distinct()
-    return store.plan_downloads(wanted, store.done_keys(read(spark, sf, "files")), "2021-01").select("key")
+    log = read(spark, sf, "files")
+    month, day = period_parts(F.col("period"))
+    f = log.select("key", "dataset", "symbol", month.alias("month"), day.alias("day")).filter("month is not null")
+    period = F.concat_ws("-", F.substring("month", 1, 4), F.substring("month", 5, 2), F.when(F.col("day") != "", F.col("day")))
+    wanted = f.select("key", "dataset", "symbol", period.alias("period"), F.when(F.col("day") != "", "daily").otherwise("monthly").alias("granularity")).distinct()
+    return store.plan_downloads(wanted, store.done_keys(log), "2021-01").select("key")
 
 
 @query("select symbol, close_time, open_time, close from (select *, row_number() over (partition by symbol, close_time order by open_time desc, close desc) as rn from perp_klines where close is not null and not isnan(close)) where rn = 1")
