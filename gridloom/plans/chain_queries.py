@@ -62,8 +62,8 @@ _PAIRS = "select row_number() over (order by a.x, b.x) - 1 as fit, a.x as a, b.x
 
 @query("select cast(p.fit as int) as fit, case when g in (p.a, p.b) then 'test' else 'train' end as role, cast(g as int) as grp, t from (select *, case when n < 40 then 0 when n < 80 then 1 when n < 120 then 2 when n < 160 then 3 when n < 200 then 4 else 5 end as g from b where n < 240) x, p where g in (p.a, p.b) or not ((n >= p.a * 40 - 2 and n < p.a * 40 + 44) or (n >= p.b * 40 - 2 and n < p.b * 40 + 44))", b=_BARS, p=_PAIRS)
 def cpcv_members(spark, sf):
-    first = splits.bar_numbers(panel(spark, sf), "t").filter("n < 240").select("t")
-    return splits.combinatorial(first, "t", 240)
+    times = panel(spark, sf).select("t").distinct()
+    return splits.combinatorial(times, "t", times.count())
 
 
 @query(None)
