@@ -618,10 +618,11 @@ def combinations_two(spark, sf):
 
 @query("select t, round(max(case when index_id = 'IDX_00001' then r_m end), 8) as i1, round(max(case when index_id = 'IDX_00002' then r_m end), 8) as i2 from market_index_8h where index_id in ('IDX_00001', 'IDX_00002') and r_m is not null and not isnan(r_m) group by t".replace("select t,", "select t_obs as t,").replace("group by t", "group by t_obs"))
 def pivot_series(spark, sf):
-    ids = ["IDX_00001", "IDX_00002"]
-    x = read(spark, sf, "market_index_8h").filter(F.col("index_id").isin(*ids) & usable("r_m")).withColumnRenamed("t_obs", "t")
+    """One column for each index_id, named by it. The ids, a list no longer than a table is wide, are collected first."""
+    x = read(spark, sf, "market_index_8h").filter(F.col("index_id").isNotNull() & usable("r_m")).withColumnRenamed("t_obs", "t")
+    ids = sorted(v.index_id for v in x.select("index_id").distinct().collect())
     out = x.groupBy("t").pivot("index_id", ids).agg(F.max("r_m"))
-    return out.select("t", r(ids[0], 8).alias("i1"), r(ids[1], 8).alias("i2"))
+    return out.select("t", *[r(F.col(f"`{i}`"), 8).alias(i) for i in ids])
 
 
 @query("select symbol, t, name, v from (unpivot (select symbol, t, beta, sigma from betas) on beta, sigma into name name value v)")
