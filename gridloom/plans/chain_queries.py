@@ -60,7 +60,7 @@ def fold_membership(spark, sf):
 _PAIRS = "select row_number() over (order by a.x, b.x) - 1 as fit, a.x as a, b.x as b from (select unnest(range(6)) as x) a join (select unnest(range(6)) as x) b on a.x < b.x"
 
 
-@query("select cast(p.fit as int) as fit, case when g in (p.a, p.b) then 'test' else 'train' end as role, cast(g as int) as grp, t from (select *, case when n < 40 then 0 when n < 80 then 1 when n < 120 then 2 when n < 160 then 3 when n < 200 then 4 else 5 end as g from b where n < 240) x, p where g in (p.a, p.b) or not ((n >= p.a * 40 - 2 and n < p.a * 40 + 44) or (n >= p.b * 40 - 2 and n < p.b * 40 + 44))", b=_BARS, p=_PAIRS)
+@query("select cast(p.fit as int) as fit, case when g in (p.a, p.b) then 'test' else 'train' end as role, cast(g as int) as grp, t from (select *, case when n < m // 6 then 0 when n < m * 2 // 6 then 1 when n < m * 3 // 6 then 2 when n < m * 4 // 6 then 3 when n < m * 5 // 6 then 4 else 5 end as g from (select *, count(*) over () as m from b)) x, p where g in (p.a, p.b) or not ((n >= m * p.a // 6 - 2 and n < m * (p.a + 1) // 6 + 4) or (n >= m * p.b // 6 - 2 and n < m * (p.b + 1) // 6 + 4))", b=_BARS, p=_PAIRS)
 def cpcv_members(spark, sf):
     times = panel(spark, sf).select("t").distinct()
     return splits.combinatorial(times, "t", times.count())
@@ -302,7 +302,10 @@ def manifest_summary(spark, sf):
     return store.summary(read(spark, sf, "files"))
 
 
-@query("select key from (select *, max(case when gran = 'monthly' then m end) over (partition by dataset, symbol) as last from (select distinct key, dataset, symbol, trim(period) as p, substr(trim(period), 1, 7) as m, case when length(trim(period)) > 7 then 'daily' else 'monthly' end as gran from files where regexp_matches(trim(period), '^\\d{4}-\\d{2}(-\\d{2})?$'))) x where (gran = 'monthly' or last is null or m > last) and m >= '2021-01' and not exists (select 1 from files f where f.status = 'converted' and f.key = x.key)")
+@query(
+    "select key from (select *, max(case when d = '' then m end) over (partition by dataset, symbol) as last from (select distinct key, dataset, symbol, m, d from spelled where m <> '')) x where (d = '' or last is null or m > last) and m >= '202101' and not exists (select 1 from files f where f.status = 'converted' and f.key = x.key)",
+    spelled="select key, dataset, symbol, case when regexp_matches(p, '^\\d{6}(\\d{2})?$') then substr(p, 1, 6) when regexp_matches(p, '^\\d{4}[-/_. ]\\d{1,2}([-/_. ]\\d{1,2})?$') then substr(p, 1, 4) || lpad(regexp_extract(p, '^\\d{4}.(\\d{1,2})', 1), 2, '0') else '' end as m, case when regexp_matches(p, '^\\d{8}$') then substr(p, 7, 2) else regexp_extract(p, '^\\d{4}[-/_. ]\\d{1,2}[-/_. ](\\d{1,2})$', 1) end as d from (select *, trim(period) as p from files where period is not null)",
+)
 def manifest_plan(spark, sf):
     log = read(spark, sf, "files")
     month, day = period_parts(F.col("period"))

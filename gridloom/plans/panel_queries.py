@@ -616,7 +616,7 @@ def combinations_two(spark, sf):
     return a.join(F.broadcast(spark.range(6).toDF("b")), F.col("a") < F.col("b"))
 
 
-@query("select t, round(max(case when index_id = 'IDX_00001' then r_m end), 8) as i1, round(max(case when index_id = 'IDX_00002' then r_m end), 8) as i2 from market_index_8h where index_id in ('IDX_00001', 'IDX_00002') and r_m is not null and not isnan(r_m) group by t".replace("select t,", "select t_obs as t,").replace("group by t", "group by t_obs"))
+@query("select * from (pivot (select t_obs as t, index_id, round(r_m, 8) as v from market_index_8h where index_id is not null and r_m is not null and not isnan(r_m)) on index_id using max(v) group by t)")
 def pivot_series(spark, sf):
     """One column for each index_id, named by it. The ids, a list no longer than a table is wide, are collected first."""
     x = read(spark, sf, "market_index_8h").filter(F.col("index_id").isNotNull() & usable("r_m")).withColumnRenamed("t_obs", "t")
