@@ -7,6 +7,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +20,11 @@ LOOK_ALIKES = {
     "ѕ": "s", "і": "i", "ј": "j", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ɡ": "g", "ı": "i", "ɑ": "a", "ο": "o", "α": "a", "ν": "v", "ι": "i", "ρ": "p",
 }
 SPAN = 1 << 22  # letters of an item at most
-# Marks that combine with the letter before and invisible format characters go; look-alikes become Latin.
-_LOOK = {c: None for c in range(0x80, 0x20000) if unicodedata.combining(chr(c)) or unicodedata.category(chr(c)) == "Cf"} | str.maketrans(LOOK_ALIKES)
-_TAG = re.compile(r"<[^<>]{0,200}>")
-_WORD = re.compile(r"[^\W_]+")
-_JOINED = re.compile(r"(?<=\w)['’ʼ](?=\w)")
+BANDS = 1 << 26
+GONE = 0xFFFFFFFF
+DOC = "\x1e"
+GROUP_CHARS, GROUP_CELLS = 1 << 20, 1 << 22
+_TAG = re.compile(r"<[a-zA-Z/!?][^<>]*>")
 
 
 @dataclass(frozen=True)
@@ -42,32 +43,81 @@ class LeakSpec:
     block_chars: int = 4_000_000
 
 
-def plain_words(text: str) -> list[str]:
-    """Words in a form that letter case, punctuation, markup, accents, spacing and look-alike letters don't change."""
-    if "<" in text or "&" in text:
-        text = _TAG.sub(" ", html.unescape(text))
-    if text.isascii():
-        text = text.lower()
-    else:
-        text = unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", text).casefold()).translate(_LOOK)
-    return _WORD.findall(_JOINED.sub("", text))
+@lru_cache(maxsize=1)
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point: what it becomes (marks and invisible format characters go, look-alikes become Latin), and whether it is part of a word."""
+    fold = np.arange(0x110000, dtype=np.uint32)
+    for c in range(0x80, 0x110000):
+        ch = chr(c)
+        if unicodedata.category(ch) in ("Mn", "Me", "Cf") or unicodedata.combining(ch):
+            fold[c] = GONE
+    for a, b in LOOK_ALIKES.items():
+        fold[ord(a)] = ord(b)
+    word = np.zeros(0x110000, bool)
+    for m in re.finditer(r"[^\W_]+", "".join(map(chr, range(0x110000)))):
+        word[m.start() : m.end()] = True
+    return fold, word
+
+
+@dataclass
+class Stream:
+    """The words of some texts, letter after letter, in a form that case, punctuation, markup, accents, spacing and look-alike letters don't change.
+
+    doc, word: number of each letter's text and word. start: where each text begins.
+    """
 
+    codes: np.ndarray
+    doc: np.ndarray
+    word: np.ndarray
+    start: np.ndarray
 
-def _codes(words: list[str]) -> np.ndarray:
-    return np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+
+def stream(texts: list[str]) -> Stream:
+    parts = [_TAG.sub(" ", html.unescape(x)) if "<" in x or "&" in x else x for x in texts]
+    joined = DOC.join(parts)
+    if joined.count(DOC) >= len(parts):
+        joined = DOC.join(x.replace(DOC, " ") for x in parts)
+    fold, is_word = _tables()
+    if joined.isascii():
+        joined = joined.lower()
+    else:
+        joined = unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", joined).casefold())
+    codes = fold[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    codes = codes[codes != GONE]
+    part = is_word[codes]
+    solid = part | (codes == 0x5F)
+    quote = np.isin(codes, (0x27, 0x2019, 0x2BC))
+    inner = np.zeros(len(codes), bool)
+    inner[1:-1] = quote[1:-1] & solid[:-2] & solid[2:]
+    codes, part = codes[~inner], part[~inner]
+    at = np.flatnonzero(part)
+    doc = np.cumsum(codes == ord(DOC))[at]
+    word = np.cumsum(np.diff(at, prepend=-2) != 1) - 1
+    return Stream(codes[at], doc, word, np.searchsorted(doc, np.arange(len(texts) + 1)))
 
 
 def _grams(codes: np.ndarray, q: int) -> np.ndarray:
     """A 64-bit mix of each q-gram; two q-grams that share one by chance only cost an alignment."""
-    n = len(codes) - q + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
+    n = max(0, len(codes) - q + 1)
     out = np.zeros(n, np.uint64)
-    for i in range(q):
+    for i in range(q if n else 0):
         out = out * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + n].astype(np.uint64) + np.uint64(1)
     return out
 
 
+@dataclass
+class Region:
+    """Where a text may hold a passage: letters [first, last) of an item, on the diagonals low..high; places: its shared q-grams."""
+
+    doc: int
+    item: int
+    low: int
+    high: int
+    first: int
+    last: int
+    places: np.ndarray
+
+
 class LeakIndex:
     """Q-gram index of a block of evaluation texts."""
 
@@ -75,36 +125,43 @@ class LeakIndex:
         self.spec, self.ids = spec, []
         self.codes: list[np.ndarray] = []
         self.word_of: list[np.ndarray] = []
-        self.sizes: list[list[int]] = []
-        self.least: list[int] = []
-        self.width: list[int] = []
+        self.sizes: list[np.ndarray] = []
+        least, width = [], []
         grams, owner, place = [], [], []
         for i, text in zip(ids, texts):
-            words = plain_words(text or "")
-            if len(words) < spec.words:
+            x = stream([text or ""])
+            sizes = np.bincount(x.word)
+            if len(sizes) < spec.words:
                 continue
-            sizes = np.array([len(w) for w in words])
-            codes, k = _codes(words), len(self.ids)
-            if len(codes) > SPAN:
-                raise ValueError(f"item {i} has {len(codes)} letters; split items of over {SPAN}")
+            k = len(self.ids)
+            if len(x.codes) > SPAN:
+                raise ValueError(f"item {i} has {len(x.codes)} letters; split items of over {SPAN}")
             self.ids.append(i)
-            self.codes.append(codes)
-            self.word_of.append(np.repeat(np.arange(len(words)), sizes))
+            self.codes.append(x.codes)
+            self.word_of.append(x.word)
             windows = np.lib.stride_tricks.sliding_window_view(sizes, spec.words)
-            self.least.append(self._bound(windows))
-            self.sizes.append(sizes.tolist())
-            self.width.append(int(windows.sum(axis=1).max()))
-            g = _grams(codes, spec.q)
+            least.append(self._bound(windows))
+            self.sizes.append(sizes)
+            width.append(int(windows.sum(axis=1).max()))
+            g = _grams(x.codes, spec.q)
             grams.append(g)
-            owner.append(np.full(len(g), k, np.int32))
-            place.append(np.arange(len(g), dtype=np.int32))
-        self.grams = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
+            owner.append(np.full(len(g), k, np.int64))
+            place.append(np.arange(len(g)))
+        none = [np.zeros(0, np.int64)]
+        self.least, self.width = np.array(least, np.int64), np.array(width, np.int64)
+        self.letters = np.array([len(c) for c in self.codes], np.int64)
+        self.words = np.array([len(z) for z in self.sizes], np.int64)
+        self.grams = np.concatenate(grams or [np.zeros(0, np.uint64)])
         order = np.argsort(self.grams, kind="stable")
-        self.grams = self.grams[order]
-        self.seen = np.zeros(1 << 20, bool)
-        self.seen[self.grams >> np.uint64(44)] = True
-        self.owner = np.concatenate(owner)[order] if grams else np.zeros(0, np.int32)
-        self.place = np.concatenate(place)[order] if grams else np.zeros(0, np.int32)
+        self.grams, self.first, self.count = np.unique(self.grams[order], return_index=True, return_counts=True)
+        self.owner, self.place = np.concatenate(owner or none)[order], np.concatenate(place or none)[order]
+        # A table with room to spare: a q-gram's slot is its first bits, or the next free one.
+        self.bits = np.uint64(64 - max(12, (len(self.grams) * 8).bit_length()))
+        self.slots = np.full((1 << (64 - int(self.bits))) + len(self.grams) + 1, -1, np.int32)
+        for k, slot in enumerate((self.grams >> self.bits).tolist()):
+            while self.slots[slot] >= 0:
+                slot += 1
+            self.slots[slot] = k
 
     def _bound(self, windows: np.ndarray) -> int:
         """Q-gram lemma: fewest q-grams that a least passage keeps when its longest words are altered."""
@@ -112,56 +169,104 @@ class LeakIndex:
         lost = np.sort(windows, axis=1)[:, ::-1][:, :edits].sum(axis=1) + edits * (s.q - 1)
         return max(s.q, int((windows.sum(axis=1) - s.q + 1 - lost).min()))
 
-    def candidates(self, codes: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(item, lowest and highest diagonal, first and last item letter) of regions that keep enough q-grams.
+    def _lookup(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the q-grams are in the index, and where there: linear probing for all at once."""
+        slot = (g >> self.bits).astype(np.int64)
+        at = np.flatnonzero(self.slots[slot] >= 0)  # most texts share next to nothing
+        slot, want, got = slot[at], g[at], np.full(len(at), -1, np.int64)
+        todo = np.arange(len(at))
+        while len(todo):
+            k = self.slots[slot[todo]]
+            todo, k = todo[k >= 0], k[k >= 0]
+            same = self.grams[k] == want[todo]
+            got[todo[same]] = k[same]
+            todo = todo[~same]
+            slot[todo] += 1
+        return at[got >= 0], got[got >= 0]
+
+    def regions(self, x: Stream) -> list[Region]:
+        """Regions of the texts that keep enough q-grams of an item, in order of text, item and diagonal.
 
         Every passage has a stretch of ``words`` words with no more than its
         share of altered ones, so a region is retained if some stretch of an
         item, within one band of diagonals, meets the lemma's bound.
         """
-        g = _grams(codes, self.spec.q)
-        if not len(g) or not len(self.grams):
+        spec, items = self.spec, len(self.ids)
+        g = _grams(x.codes, spec.q)
+        if not len(g) or not items:
             return []
-        near = np.flatnonzero(self.seen[g >> np.uint64(44)])  # most texts share next to nothing: ask a bit map first
-        if len(near) < min(self.least):
+        few = int(self.least.min())
+        near, k = self._lookup(g)
+        ok = x.doc[near] == x.doc[near + spec.q - 1]
+        near, k = near[ok], k[ok]
+        ok = (np.bincount(x.doc[near], minlength=len(x.start)) >= few)[x.doc[near]]
+        near, k = near[ok], k[ok]
+        if not len(near):
             return []
-        lo, hi = np.searchsorted(self.grams, g[near], "left"), np.searchsorted(self.grams, g[near], "right")
-        near, lo, hi = (x[hi > lo] for x in (near, lo, hi))
-        if len(near) < min(self.least):
+        lo, counts = self.first[k], self.count[k]
+        hit = np.repeat(lo - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        owner, place, at = self.owner[hit], self.place[hit], np.repeat(near, counts)
+        pair = x.doc[at] * items + owner
+        sort = np.sort(pair)
+        first = np.flatnonzero(np.diff(sort, prepend=-1))
+        rich = sort[first]
+        rich = rich[np.diff(first, append=len(sort)) >= self.least[rich % items]]
+        if not len(rich):
             return []
-        counts = hi - lo
-        hit = np.repeat(lo - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())
-        owner, place = self.owner[hit].astype(np.int64), self.place[hit].astype(np.int64)
-        b = np.floor_divide(place - np.repeat(near, counts), self.spec.band)
-        half, span = np.int64(1) << 22, np.int64(SPAN)
-        key = np.concatenate([(owner * 2 * half + b + half) * span + place, (owner * 2 * half + b - 1 + half) * span + place])
+        number = np.minimum(np.searchsorted(rich, pair), len(rich) - 1)
+        keep = rich[number] == pair
+        number, place, at = number[keep], place[keep], at[keep]
+        # Cell b of a pair holds the q-grams of its bands b and b + 1. Only cells with enough of them go on.
+        band = number * BANDS + np.floor_divide(place - (at - x.start[x.doc[at]]), spec.band) + BANDS // 2
+        sort = np.sort(band)
+        first = np.flatnonzero(np.diff(sort, prepend=-1))
+        held, count = sort[first], np.diff(first, append=len(sort))
+        names = np.unique(np.r_[held, held - 1])
+        in_band = lambda b: np.where(held[i := np.minimum(np.searchsorted(held, b), len(held) - 1)] == b, count[i], 0)
+        names = names[in_band(names) + in_band(names + 1) >= self.least[rich[names // BANDS] % items]]
+        if not len(names):
+            return []
+        some = np.zeros(len(rich), bool)
+        some[names // BANDS] = True
+        keep = some[number]
+        band, place = np.r_[band[keep], band[keep] - 1], np.r_[place[keep], place[keep]]
+        cell = np.minimum(np.searchsorted(names, band), len(names) - 1)
+        keep = names[cell] == band
+        cell, place = cell[keep], place[keep]
+        pair = rich[names // BANDS]
+        item = pair % items
+        key = cell * SPAN + place
         key.sort()
-        cell = key // span
-        first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-        item = cell // (2 * half)
-        least, width = np.array(self.least)[item], np.array(self.width)[item]
-        full = np.r_[first[1:], len(key)]
-        if (full - first < least[first]).all():
+        cell = key // SPAN
+        inside = np.searchsorted(key, np.minimum(key + self.width[item][cell], (cell + 1) * SPAN)) - np.arange(len(key))
+        rich = np.flatnonzero(inside >= self.least[item][cell])
+        if not len(rich):
             return []
-        inside = np.searchsorted(key, np.minimum(key + width, (cell + 1) * span)) - np.arange(len(key))
-        rich = np.flatnonzero(inside >= least)
-        out: list[tuple[int, int, int, int, int]] = []
-        for c in np.unique(cell[rich]).tolist():
-            r = rich[cell[rich] == c]
-            a, z = np.searchsorted(cell, [c, c + 1])
-            if not self._may_hold(c // (2 * int(half)), key[a:z] % span):
-                continue
-            i, low = c // (2 * int(half)), (c % (2 * int(half)) - int(half)) * self.spec.band
-            high = low + 2 * self.spec.band - 1
-            a, z = int(key[r[0]] % span), int(key[r[-1]] % span) + self.width[i]
-            if out and out[-1][0] == i and low <= out[-1][2] + 1:  # neighbours that overlap are aligned once
-                out[-1] = (i, out[-1][1], high, min(a, out[-1][3]), max(z, out[-1][4]))
+        cells, first = np.unique(cell[rich], return_index=True)
+        last = np.r_[first[1:], len(rich)] - 1
+        a, z = np.searchsorted(cell, cells), np.searchsorted(cell, cells, "right")
+        hold = self._may_hold(item[cells], a, z, key % SPAN)
+        out: list[Region] = []
+        for j in np.flatnonzero(hold).tolist():
+            c = int(cells[j])
+            k, doc, low = int(item[c]), int(pair[c]) // items, (int(names[c]) % BANDS - BANDS // 2) * spec.band
+            high = low + 2 * spec.band - 1
+            places = key[a[j] : z[j]] % SPAN
+            p, q = int(key[rich[first[j]]] % SPAN), int(key[rich[last[j]]] % SPAN) + int(self.width[k])
+            if out and (out[-1].doc, out[-1].item) == (doc, k) and low <= out[-1].high + 1:  # neighbours that overlap are aligned once
+                r = out[-1]
+                out[-1] = Region(doc, k, r.low, high, min(p, r.first), max(q, r.last), np.concatenate([r.places, places]))
             else:
-                out.append((i, low, high, a, z))
+                out.append(Region(doc, k, low, high, p, q, places))
+        for r in out:
+            half, word_of = int(self.width[r.item]) // 2, self.word_of[r.item]
+            r.first = int(np.searchsorted(word_of, word_of[max(0, r.first - half)]))
+            r.last = min(r.last + half, len(word_of))
+            r.places = np.unique(r.places)
         return out
 
-    def _may_hold(self, item: int, places: np.ndarray) -> bool:
-        """Whether the letters that shared q-grams cover leave room for a passage.
+    def _may_hold(self, item: np.ndarray, a: np.ndarray, z: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Whether the letters covered by a cell's shared q-grams, places[a:z], leave room for a passage.
 
         A word with an uncovered letter can be kept only within a block of
         fewer than q kept letters between altered words, since a longer one, or one
@@ -169,93 +274,165 @@ class LeakIndex:
         fewest alterations that leave only such blocks, and is slack at the
         borders, where a passage can begin within them.
         """
-        spec, sizes = self.spec, self.sizes[item]
-        step = np.zeros(len(self.word_of[item]) + 1, np.int32)
-        step[places] = 1
-        step = np.cumsum(step)
-        at = np.arange(len(step) - 1)
-        whole = step[at] > np.r_[np.zeros(spec.q, np.int32), step][at]  # some q-gram began within the last q letters
-        ok = np.bincount(self.word_of[item], ~whole, len(sizes)) == 0
-        if ok.sum() < spec.words // 2:
-            return False
-        flags, n, i = ok.tolist(), len(ok), 0
-        while i < n:
-            if flags[i]:
-                i += 1
-                continue
-            j = i
-            while j < n and not ok[j]:
-                j += 1
-            block = 0
-            for k in range(i, j):
-                border = (k == i and i > 0) or (k == j - 1 and j < n)
-                if border or block + sizes[k] >= spec.q:
-                    block = 0
-                else:
-                    flags[k] = True
-                    block += sizes[k]
-            i = j
-        return _longest(np.array(flags), spec.per) >= spec.words - 4
-
-    def passage(self, codes: np.ndarray, item: int, low: int, high: int, first: int, last: int) -> int:
-        """Words of the longest passage of the item kept in the text within a region, to a width beyond it."""
-        a, z = max(0, first - self.width[item] // 2), last + self.width[item] // 2
-        word_of = self.word_of[item]
-        a = int(np.searchsorted(word_of, word_of[a]))
-        ok = _kept_words(self.codes[item][a:z], word_of[a:z] - word_of[a], codes, low - a, high - a)
-        return _longest(ok, self.spec.per)
-
-    def found(self, text: str | None) -> list[tuple[int, int]]:
-        """(item_id, words of its longest passage) for each leaked item."""
-        codes = _codes(plain_words(text or ""))
-        best: dict[int, int] = {}
-        for item, low, high, first, last in self.candidates(codes):
-            n = self.passage(codes, item, low, high, first, last) + 1
-            if n >= self.spec.words:
-                best[item] = max(n, best.get(item, 0))
-        return [(self.ids[i], n) for i, n in best.items()]
-
-
-def _kept_words(item: np.ndarray, word_of: np.ndarray, text: np.ndarray, low: int, high: int) -> np.ndarray:
-    """Which words of the item the best local alignment within the band keeps letter for letter.
+        out = np.zeros(len(item), bool)
+        order = np.argsort(self.words[item], kind="stable")
+        size = np.maximum(self.letters[item[order]], 8 * self.words[item[order]])
+        lo = 0
+        while lo < len(order):
+            hi = max(lo + 1, int(np.searchsorted(np.cumsum(size[lo:]), GROUP_CELLS, "right")) + lo)
+            some = order[lo:hi]
+            out[some] = self._hold_some(item[some], a[some], z[some], places)
+            lo = hi
+        return out
+
+    def _hold_some(self, item: np.ndarray, a: np.ndarray, z: np.ndarray, places: np.ndarray) -> np.ndarray:
+        spec, n, m = self.spec, len(item), int(self.words[item].max())
+        begin = np.cumsum(self.letters[item]) - self.letters[item]
+        mark = np.zeros(int(self.letters[item].sum()) + 1, np.int32)
+        counts = z - a
+        at = np.repeat(a - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        mark[np.repeat(begin, counts) + places[at]] = 1
+        before = np.r_[np.int32(0), np.cumsum(mark[:-1], dtype=np.int32)]
+        letter = np.arange(len(mark) - 1)
+        bare = before[letter + 1] == before[np.maximum(letter - spec.q + 1, np.repeat(begin, self.letters[item]))]  # no q-gram began within the last q letters
+        word = np.concatenate([self.word_of[k] + i * m for i, k in enumerate(item.tolist())])
+        sizes = np.zeros((n, m), np.int64)
+        for i, k in enumerate(item.tolist()):
+            sizes[i, : self.words[k]] = self.sizes[k]
+        ok = (np.bincount(word, bare, n * m) == 0).reshape(n, m) & (sizes > 0)
+        flags, block = ok.copy(), np.zeros(n, np.int64)
+        for k in range(m):
+            border = np.zeros(n, bool)
+            if k:
+                border |= ok[:, k - 1]
+            if k + 1 < m:
+                border |= ok[:, k + 1]
+            free = ~ok[:, k] & ~border & (block + sizes[:, k] < spec.q) & (sizes[:, k] > 0)
+            flags[:, k] |= free
+            block = np.where(free, block + sizes[:, k], 0)
+        least = spec.words - 4
+        gain = np.concatenate([np.zeros((n, 1), np.int64), np.cumsum(np.where(flags, 1, 1 - spec.per), axis=1)], axis=1)
+        lowest = np.minimum.accumulate(np.where(flags, gain[:, :-1], 1 << 40), axis=1)
+        ends = flags[:, least - 1 :] & (gain[:, least:] >= lowest[:, : m - least + 1])
+        return ends.any(axis=1) & (ok.sum(axis=1) >= spec.words // 2)
+
+    def found(self, texts: list[str | None]) -> list[tuple[int, int, int]]:
+        """(number of the text, item_id, words of its longest passage) for each leaked item.
+
+        A region whose best alignment holds no passage is aligned again before
+        and after that alignment, as long as a part has the q-grams of a passage.
+        """
+        x = stream([t or "" for t in texts])
+        best: dict[tuple[int, int], int] = {}
+        todo = self.regions(x)
+        while todo:
+            again: list[Region] = []
+            for some in _batches(todo):
+                for r, (ok, i, j) in zip(some, _kept_words([self._cut(r) for r in some], x, some)):
+                    n = _longest(ok, self.spec.per) + 1
+                    if n >= self.spec.words:
+                        best[r.doc, r.item] = max(n, best.get((r.doc, r.item), 0))
+                    elif j > i:
+                        word_of = self.word_of[r.item]
+                        cut = int(np.searchsorted(word_of, word_of[r.first + i] + (i > 0 and word_of[r.first + i] == word_of[r.first + i - 1])))
+                        for first, last in ((r.first, min(cut, r.first + i)), (int(np.searchsorted(word_of, word_of[r.first + j - 1], "right")), r.last)):
+                            places = r.places[(r.places >= first) & (r.places < last)]
+                            if last > first and len(places) >= self.least[r.item]:
+                                again.append(Region(r.doc, r.item, r.low, r.high, first, last, places))
+            todo = again
+        return [(d, self.ids[k], n) for (d, k), n in best.items()]
+
+    def _cut(self, r: Region) -> tuple[np.ndarray, np.ndarray]:
+        word_of = self.word_of[r.item][r.first : r.last]
+        return self.codes[r.item][r.first : r.last], word_of - word_of[0]
+
+
+def _batches(regions: list[Region]) -> Iterator[list[Region]]:
+    """Regions of like size, as many at once as ``GROUP_CELLS`` cells hold, one at least."""
+    some: list[Region] = []
+    wide = long = 0
+    for r in sorted(regions, key=lambda r: (r.high - r.low, r.last - r.first)):
+        w, n = max(wide, r.high - r.low + 3), max(long, r.last - r.first)
+        if some and w * n * (len(some) + 1) > GROUP_CELLS:
+            yield some
+            some, w, n = [], r.high - r.low + 3, r.last - r.first
+        some.append(r)
+        wide, long = w, n
+    if some:
+        yield some
+
+
+def _kept_words(items: list[tuple[np.ndarray, np.ndarray]], x: Stream, regions: list[Region]) -> list[tuple[np.ndarray, int, int]]:
+    """For each region: which words of the item its best local alignment within the band keeps letter for letter, and the item letters it spans.
 
     Match 1, mismatch and gap -1. Row i is an item letter; column d a diagonal,
-    so the text letter is i - (low + d). Each row is computed at once: a gap in
+    so the text letter is i - (low + d). The rows of all regions are computed at once: a gap in
     the item runs along the row and is a running maximum.
     """
-    n, w = len(item), high - low + 3
-    pos = np.arange(n)[:, None] - (low - 1 + np.arange(w))[None, :]
-    inside = (pos >= 0) & (pos < len(text))
-    same = inside & (text[np.clip(pos, 0, max(len(text) - 1, 0))] == item[:, None])
-    step = np.where(same, 1, np.where(inside, -1, -(1 << 20))).astype(np.int32)
-    score = np.zeros((n + 1, w), np.int32)
-    ramp = np.arange(w, dtype=np.int32)
+    m, n = len(items), max(len(c) for c, _ in items)
+    w = max(r.high - r.low for r in regions) + 3
+    letters = np.full((n, m), GONE, np.uint32)
+    for k, (c, _) in enumerate(items):
+        letters[: len(c), k] = c
+    begin = np.array([x.start[r.doc] for r in regions])
+    size = np.array([x.start[r.doc + 1] - x.start[r.doc] for r in regions])
+    low = np.array([r.low - r.first - 1 for r in regions])
+    own = np.array([r.high - r.low + 3 for r in regions])
+    kind = np.int16 if n < 30_000 else np.int32  # a score is at most n, a ramp at most w
+    kind = kind if w < 30_000 else np.int32
+    ramp = np.arange(w, dtype=kind)
+    # A letter before each text and after it that matches nothing, so that a place needs only be clipped.
+    lead = np.cumsum(size + 2) - size - 2
+    text = np.full(int(lead[-1] + size[-1] + 2), GONE - 1, np.uint32)
+    for k in range(m):
+        text[lead[k] + 1 : lead[k] + 1 + size[k]] = x.codes[begin[k] : begin[k] + size[k]]
+    at = np.int64 if len(text) + n + w > 2**31 - 1 else np.int32
+    pos = np.arange(n, dtype=at)[:, None, None] - (low.astype(at)[:, None] + np.arange(w, dtype=at))[None]
+    np.clip(pos, at(-1), size.astype(at)[None, :, None], out=pos)
+    pos += (lead.astype(at) + at(1))[None, :, None]
+    same = text[pos] == letters[:, :, None]
+    if (own < w).any():
+        same &= (np.arange(w) < own[:, None])[None]  # beyond a narrower band nothing matches
+    step = same.astype(np.int8)
+    step *= 2
+    step -= 1
+    score = np.zeros((n + 1, m, w), kind)
     for i in range(n):
         prev = score[i]
         row = prev + step[i]  # along the diagonal
-        np.maximum(row[1:], prev[:-1] - 1, out=row[1:])  # an item letter without a text letter: the diagonal rises
+        np.maximum(row[:, 1:], prev[:, :-1] - kind(1), out=row[:, 1:])  # an item letter without a text letter: the diagonal rises
         np.maximum(row, 0, out=row)
         row -= ramp  # a text letter without an item letter lowers the diagonal: a running maximum from the right
-        np.add(np.maximum.accumulate(row[::-1])[::-1], ramp, out=score[i + 1])
-    hit = np.zeros(n, bool)
-    joined = np.ones(n, bool)  # no text letter was put in before this item letter
-    i, d = divmod(int(score.argmax()), w)
-    while i > 0 and score[i, d] > 0:
-        s, r = score[i, d], i - 1
-        if s == score[r, d] + step[r, d]:
-            hit[r] = same[r, d]
-            i -= 1
-        elif d and s == score[r, d - 1] - 1:
-            i, d = i - 1, d - 1
-        elif d + 1 < w and s == score[i, d + 1] - 1:
-            joined[min(i, n - 1)] = False
-            d += 1
-        else:
-            break
-    words = int(word_of[-1]) + 1
-    first = np.r_[True, word_of[1:] != word_of[:-1]]
-    bad = ~hit | (~joined & ~first)
-    return np.bincount(word_of, bad, words) == 0
+        np.add(np.maximum.accumulate(row[:, ::-1], axis=1)[:, ::-1], ramp, out=score[i + 1])
+    hit = np.zeros((m, n), bool)
+    joined = np.ones((m, n + 1), bool)  # no text letter was put in before this item letter
+    top = score.max(axis=2)
+    i = top.argmax(axis=0)
+    k = np.arange(m)
+    d = score[i, k].argmax(axis=1)
+    end = i.copy()
+    on = k[(score[i, k, d] > 0)]
+    while len(on):
+        a, b = i[on], d[on]
+        s, r = score[a, on, b], a - 1
+        diag = s == score[r, on, b] + step[r, on, b]
+        up = ~diag & (b > 0) & (s == score[r, on, np.maximum(b - 1, 0)] - 1)
+        right = ~diag & ~up & (b + 1 < w) & (s == score[a, on, np.minimum(b + 1, w - 1)] - 1)
+        hit[on[diag], r[diag]] = same[r[diag], on[diag], b[diag]]
+        joined[on[right], a[right]] = False
+        i[on] = a - (diag | up)
+        d[on] = b - up + right
+        go = diag | up | right
+        on = on[go]
+        on = on[(i[on] > 0)]
+        on = on[score[i[on], on, d[on]] > 0]
+    out = []
+    for j, (c, word_of) in enumerate(items):
+        q = len(c)
+        first = np.r_[True, word_of[1:] != word_of[:-1]]
+        bad = ~hit[j, :q] | (~joined[j, :q] & ~first)
+        out.append((np.bincount(word_of, bad, int(word_of[-1]) + 1) == 0, int(i[j]), int(end[j])))
+    return out
 
 
 def _longest(ok: np.ndarray, per: int) -> int:
@@ -303,15 +480,27 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     return out.groupBy("d", "i").agg(F.max("words").alias("words")).select(F.col("d").alias(doc_id), F.col("i").alias(item_id), "words")
 
 
+def _groups(texts: list[str]) -> Iterator[list[str]]:
+    """Runs of texts of about ``GROUP_CHARS`` letters."""
+    group, size = [], 0
+    for x in texts:
+        group.append(x)
+        size += len(x)
+        if size >= GROUP_CHARS:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
 def _mapper(index: LeakIndex):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, item, words = [], [], []
-            for r, x in enumerate(batch["x"].to_pylist()):
-                for i, n in index.found(x):
-                    at.append(r)
-                    item.append(i)
-                    words.append(n)
+            base, rows = 0, []
+            for group in _groups(batch["x"].to_pylist()):
+                rows += [(base + r, i, n) for r, i, n in index.found(group)]
+                base += len(group)
+            at, item, words = ([v[k] for v in rows] for k in range(3))
             yield pa.RecordBatch.from_arrays([batch["d"].take(pa.array(at, pa.int64())), pa.array(item, pa.int64()), pa.array(words, pa.int32())], ["d", "i", "words"])
 
     return run

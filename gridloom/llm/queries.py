@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.bpe import decode_ids, encode_corpus
-from gridloom.llm.langid import fit_profiles, identify, relabelled
+from gridloom.llm.langid import fit_profiles, identify, relabelled, segments
 from gridloom.llm.leaks import find_leaks
 from gridloom.llm.nearest import nearest_within
 from gridloom.llm.topn import top_n
@@ -61,7 +61,13 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relabelled(_read(spark, sf_dir, "documents"), "doc_id", "text", "lang", fit_profiles(_read(spark, sf_dir, "lang_samples"), "lang", "text")).select("doc_id", "lang")
 
 
-QUERIES = {"p3_found": p3_found, "p3_ranked": p3_ranked, "p6_found": p6_found, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_found": p9_found, "p10_found": p10_found, "p10_languages": p10_languages}
+def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segments of every document with words: place, language, confidence and sentences."""
+    out = segments(_read(spark, sf_dir, "documents"), "doc_id", "text", "lang", fit_profiles(_read(spark, sf_dir, "lang_samples"), "lang", "text"))
+    return out.withColumn("confidence", F.round("confidence", 6))
+
+
+QUERIES = {"p3_found": p3_found, "p3_ranked": p3_ranked, "p6_found": p6_found, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_found": p9_found, "p10_found": p10_found, "p10_languages": p10_languages, "p10_segments": p10_segments}
 
 _P3 = """
 with b as (select t_obs, symbol, max(0.0 + score) as score from oof_book_inputs where t_obs is not null and symbol is not null and score is not null and not isnan(score) group by all),

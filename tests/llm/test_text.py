@@ -1,6 +1,5 @@
 """BPE against the public library, leaks against planted passages, languages against held-out samples."""
 
-import json
 import os
 import random
 
@@ -75,21 +74,56 @@ def test_planted_passages_are_found_and_short_ones_are_not():
         for n, share, want in ((24, 0.0, True), (28, 0.1, True), (60, 0.1, True), (14, 0.0, False), (10, 0.0, False), (30, 0.5, False)):
             part = words[min(a, 60 - n) : min(a, 60 - n) + n]
             text = f"{fill()} {dress(alter(rng, part, share))} {fill()}"
-            assert ([x for x, _ in index.found(text)] == [i]) == want, (i, n, share)
-    assert index.found(None) == [] and index.found("") == [] and index.found("...!") == []
+            assert ([x for _, x, _ in index.found([text])] == [i]) == want, (i, n, share)
+    assert index.found([None, "", "...!"]) == [] and index.found([]) == []
+
+
+def test_texts_found_together_equal_those_found_alone():
+    rng = random.Random(5)
+    items = {i: item(rng) for i in range(12)}
+    index = leaks.LeakIndex(list(items), [" ".join(w) for w in items.values()], leaks.LeakSpec())
+    texts = [" ".join(item(rng, 30) + alter(rng, items[i % 12][i % 9 : i % 9 + 30], 0.08) + item(rng, i)) for i in range(40)] + [None, "", " ".join(items[3]) + " x " + " ".join(items[5])]
+    alone = sorted((r, i, n) for r, x in enumerate(texts) for _, i, n in index.found([x]))
+    assert sorted(index.found(texts)) == alone and {(42, 3), (42, 5)} <= {(r, i) for r, i, _ in alone}
+
+
+def test_long_tags_and_invisible_letters_do_not_hide_a_passage():
+    rng = random.Random(6)
+    words = item(rng)
+    index = leaks.LeakIndex([1], [" ".join(words)], leaks.LeakSpec())
+    part = words[10:34]
+    tag = f"<a href='{'x' * 250} y'>"
+    split = [w[:2] + chr(0xE0061) + w[2:] if i % 2 else w[:1] + "\ufe0f" + w[1:] for i, w in enumerate(part)]
+    for text in (" ".join(part[:12]) + tag + " ".join(part[12:]), " ".join(split)):
+        assert [i for _, i, _ in index.found([text])] == [1]
+    assert len(leaks.stream(["a < b and c > d"]).codes) == len("abandcd")  # no tag
+
+
+def test_a_passage_beside_a_longer_altered_stretch_is_found():
+    rng = random.Random(8)
+    words = item(rng, 120)
+    index = leaks.LeakIndex([1], [" ".join(words)], leaks.LeakSpec())
+    worse = [w if i % 4 else w[1:] + "x" for i, w in enumerate(words[60:118])]  # longer, but altered too often
+    gap = ["".join(rng.choice("qwyz") for _ in w) for w in words[23:60]]
+    text = " ".join(words[2:23] + gap + worse)
+    assert [i for _, i, _ in index.found([text])] == [1]
 
 
 def test_banded_alignment_equals_the_full_one():
     rng = random.Random(3)
+    cases = []
     for _ in range(40):
         a = item(rng, 25)
-        b = item(rng, 5) + alter(rng, a[3:22], 0.15) + item(rng, 6)
-        ca, cb = leaks._codes(a), leaks._codes(b)
-        of = np.repeat(np.arange(len(a)), [len(w) for w in a])
-        wide = leaks._kept_words(ca, of, cb, -len(cb), len(ca))
-        shift = len("".join(a[:3])) - len("".join(b[:5]))
-        near = leaks._kept_words(ca, of, cb, shift - 48, shift + 48)
-        assert leaks._longest(near, 7) == leaks._longest(wide, 7)
+        cases.append((a, item(rng, 5) + alter(rng, a[3:22], 0.15) + item(rng, 6)))
+    x = leaks.stream([" ".join(b) for _, b in cases])
+    items = [(leaks.stream([" ".join(a)]).codes, leaks.stream([" ".join(a)]).word) for a, _ in cases]
+    wide, near = [], []
+    for k, (a, b) in enumerate(cases):
+        n, shift = len(items[k][0]), len("".join(a[:3])) - len("".join(b[:5]))
+        wide.append(leaks.Region(k, 0, -int(x.start[k + 1] - x.start[k]), n, 0, n, np.zeros(0, int)))
+        near.append(leaks.Region(k, 0, shift - 48, shift + 48, 0, n, np.zeros(0, int)))
+    for one, other in zip(leaks._kept_words(items, x, wide), leaks._kept_words(items, x, near)):
+        assert leaks._longest(one[0], 7) == leaks._longest(other[0], 7)
 
 
 @pytest.mark.parametrize("flags, per, want", [("1111", 7, 4), ("0000", 7, 0), ("1101", 7, 2), ("1" * 7 + "0" + "1" * 7, 7, 15), ("1" * 3 + "0" + "1" * 3, 7, 7), ("111011011", 7, 3)])
@@ -119,8 +153,76 @@ def test_languages_of_held_out_samples(spark):
     for fold in range(3):
         train, held = s[s.sample_id % 3 != fold], s[s.sample_id % 3 == fold]
         p = langid.Profiles(train.groupby("lang").text.apply(list).to_dict(), langid.LangSpec())
-        wrong += sum(p.judge(x)[0][0] != k for k, x in zip(held.lang, held.text))
-    assert wrong <= 0.02 * len(s)
+        j = p.judge(held.text.tolist())
+        wrong += sum(p.langs[k] != want for k, want in zip(j.own, held.lang))
+    assert wrong <= 0.01 * len(s)
+
+
+@needs_data
+def test_confidence_is_the_share_of_right_answers(spark):
+    """Fitted on one half of the labelled sentences, checked on pieces of the other."""
+    s = spark.read.parquet(f"{DATA}/lang_samples.parquet").toPandas()
+    pairs = list(zip(s.lang, s.text))
+    train, held = pairs[::2], [(k, " ".join(w[i : i + 4])) for k, x in pairs[1::2] for w in [x.split()] for i in range(0, len(w), 4)]
+    p = langid.Profiles(langid._by_language(train), langid.LangSpec())
+    p.calibration = langid.calibrate(train, langid.LangSpec())
+    j = p.judge([x for _, x in held])
+    right = np.array([p.langs[k] == want for k, (want, _) in zip(j.own, held)])[j.has]
+    conf = p.confidence(j.whole)[j.has]
+    assert abs(conf.mean() - right.mean()) < 0.05
+    sure = conf > 0.97
+    assert sure.sum() > 100 and right[sure].mean() > 0.95 > right[~sure].mean()
+    assert (np.diff(p.calibration[1]) > 0).all()
+
+
+def test_distances_by_hand():
+    """The out-of-place distance of a sentence, worked out with dictionaries."""
+    from collections import Counter
+
+    spec = langid.LangSpec(grams=3, profile=50, text=20)
+    samples = {"a": ["abab baba abba"], "b": ["cdcd dcdc cddc xyz"]}
+    p = langid.Profiles(samples, spec)
+
+    def counts(text):
+        c = Counter()
+        for w in text.split():
+            v = f" {w} "
+            c.update([w[i] for i in range(len(w))] + [v[i : i + n] for n in (2, 3) for i in range(len(v) - n + 1)])
+        return c
+
+    def ranked(c, n):
+        code = {}
+        for g in c:
+            x = np.array([ord(k) for k in g], np.uint32)
+            code[g] = int(langid._gram_keys(x, np.zeros(len(x), int), 3)[0][-1])
+        return sorted(c, key=lambda g: (-c[g], code[g]))[:n]
+
+    text = "abba xyz abd"
+    mine = ranked(counts(text), spec.text)
+    for i, k in enumerate(p.langs):
+        place = {g: r for r, g in enumerate(ranked(counts(" ".join(samples[k])), spec.profile))}
+        off = [abs(place[g] - int(r * spec.profile / 4 / len(mine))) if g in place else spec.profile for r, g in enumerate(mine)]
+        assert abs(p.distances(langid.pieces([text]))[0, i] - sum(off) / len(mine) / spec.profile) < 1e-9
+
+
+@needs_data
+def test_segments_have_their_places(spark):
+    p = langid.fit_profiles(spark.read.parquet(f"{DATA}/lang_samples.parquet"), "lang", "text")
+    en = "The manual says that the second fan should be changed every month. It arrived on day two and fits perfectly. "
+    de = "Der Kundendienst hat sich erst nach zwei Wochen gemeldet. Wir benutzen ihn ungefähr neun Stunden am Tag."
+    nfd = "Cafe\u0301 <b class='x'>"
+    docs = [(1, nfd + en + de, None), (2, en, "en"), (3, None, None), (4, "", None), (5, "12 !", None)]
+    df = spark.createDataFrame([(*d, 1, "y") for d in docs], "doc_id bigint, text string, lang string, begin int, end string")
+    got = sorted(tuple(r) for r in langid.segments(df, "doc_id", "text", "lang", p).select("doc_id", "begin", "end", "lang", "sentences").collect())
+    cut = len(nfd + en)
+    assert [(d, k, n) for d, _, _, k, n in got] == [(1, "en", 2), (1, "de", 2), (2, "en", 2)]
+    assert got[0][1] == 0 and cut - 2 <= got[0][2] <= got[1][1] <= cut and got[1][2] == len(nfd + en + de)
+
+
+def test_long_tags_and_long_sentences():
+    x = langid.pieces([f"one <a href='{'x' * 300} z'> two", "three " * 9000, "a < b. c > d"])
+    assert x.words.sum() == 2 + 9000 + 4 and (x.size[x.doc == 1] <= langid.LONG + 10).all() and (x.doc == 1).sum() == 3
+    assert langid.pieces([]).doc.tolist() == [] and langid.pieces(["", "1 2"]).doc.tolist() == []
 
 
 @needs_data
@@ -140,5 +242,5 @@ def test_mixed_missing_and_wrong_labels(spark):
 
 
 def test_sentences():
-    assert len(langid.sentences("One. Two!  Three? 3.5 four… five\n\nsix<br>seven。八。")) == 8
-    assert langid.sentences("...") == [] and json.dumps(langid.sentences("A b")) == '["a b"]'
+    assert len(langid.pieces(["One. Two!  Three? 3.5 four… five\n\nsix<br>seven。八。"]).doc) == 8
+    assert langid.pieces(["...", "A b"]).doc.tolist() == [1]
