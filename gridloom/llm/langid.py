@@ -78,7 +78,7 @@ def _blank(m: re.Match) -> str:
 
 
 def _split(m: re.Match) -> str:
-    return SENTENCE + " " * (m.end() - m.start() - 1)
+    return " " * (m.end() - m.start() - 1) + SENTENCE
 
 
 def marked(texts: list[str]) -> str:
@@ -148,7 +148,7 @@ def pieces(texts: list[str]) -> Pieces:
     n = len(kept)
     wide = np.bincount(sentence, np.add.reduceat(codes[at] >= 0x3040, first) if len(first) else np.zeros(0), n)
     d = doc[kept]
-    return Pieces(d, begin[kept] - origin[d], ends[kept] - origin[d], np.bincount(sentence, minlength=n), np.bincount(sentence, sizes, n), wide, stream, np.repeat(np.arange(len(first)), sizes + 2), sentence)
+    return Pieces(d, begin[kept] - origin[d], (ends + ~part)[kept] - origin[d], np.bincount(sentence, minlength=n), np.bincount(sentence, sizes, n), wide, stream, np.repeat(np.arange(len(first)), sizes + 2), sentence)
 
 
 def _gram_keys(stream: np.ndarray, word: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
