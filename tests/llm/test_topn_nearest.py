@@ -67,3 +67,14 @@ def test_lookup_join_keeps_every_row(spark):
         assert got.filter("x is null").count() == left.filter("k is null or k >= 40").count()
         kept = lookup_join(left, right, ["k"], ["x"], "w", keep=lambda v: v["x"] >= 20, hot_keys=hot)
         assert kept.count() == left.filter("k >= 10 and k < 40").count()
+
+
+def test_nearest_of_many_records_within_one_tolerance(spark):
+    """One entity, all times within one tick: the work grows with n log n, and equal times are matched."""
+    n = 60_000
+    a = spark.range(n).select(F.lit("k").alias("k"), (F.col("id") * 4 + 1).alias("t"))
+    b = spark.range(n).select(F.lit("k").alias("k"), (F.col("id") * 4).alias("r"))
+    got = nearest_within(a, "k", "t", b, "k", "r", 300_000)
+    assert got.count() == n and got.filter("r <> t - 1").count() == 0
+    same = nearest_within(b, "k", "r", b.withColumnRenamed("r", "s"), "k", "s", 300_000)
+    assert same.count() == n and same.filter("r <> s").count() == 0
