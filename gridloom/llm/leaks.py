@@ -86,7 +86,7 @@ def stream(texts: list[str]) -> Stream:
     codes = codes[codes != GONE]
     part = is_word[codes]
     solid = part | (codes == 0x5F)
-    quote = np.isin(codes, (0x27, 0x2019, 0x2BC))
+    quote = (codes == 0x27) | (codes == 0x2019) | (codes == 0x2BC)
     inner = np.zeros(len(codes), bool)
     inner[1:-1] = quote[1:-1] & solid[:-2] & solid[2:]
     codes, part = codes[~inner], part[~inner]
@@ -96,6 +96,18 @@ def stream(texts: list[str]) -> Stream:
     return Stream(codes[at], doc, word, np.searchsorted(doc, np.arange(len(texts) + 1)))
 
 
+def _among(x: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each x is one of the sorted ``names``, and which."""
+    low = int(names[0])
+    if int(names[-1]) - low < 4 * len(x):  # a table no larger than the data
+        table = np.full(int(names[-1]) - low + 2, -1, np.int32)
+        table[names - low] = np.arange(len(names), dtype=np.int32)
+        number = table[np.minimum(np.maximum(x - low, -1), len(table) - 1)]
+        return number >= 0, number
+    number = np.minimum(np.searchsorted(names, x), len(names) - 1)
+    return names[number] == x, number
+
+
 def _grams(codes: np.ndarray, q: int) -> np.ndarray:
     """A 64-bit mix of each q-gram; two q-grams that share one by chance only cost an alignment."""
     n = max(0, len(codes) - q + 1)
@@ -145,8 +157,8 @@ class LeakIndex:
             width.append(int(windows.sum(axis=1).max()))
             g = _grams(x.codes, spec.q)
             grams.append(g)
-            owner.append(np.full(len(g), k, np.int64))
-            place.append(np.arange(len(g)))
+            owner.append(np.full(len(g), k, np.int32))
+            place.append(np.arange(len(g), dtype=np.int32))
         none = [np.zeros(0, np.int64)]
         self.least, self.width = np.array(least, np.int64), np.array(width, np.int64)
         self.letters = np.array([len(c) for c in self.codes], np.int64)
@@ -201,21 +213,32 @@ class LeakIndex:
         near, k = near[ok], k[ok]
         ok = (np.bincount(x.doc[near], minlength=len(x.start)) >= few)[x.doc[near]]
         near, k = near[ok], k[ok]
-        if not len(near):
+        # The q-grams of a passage lie in a window of the text as wide as the widest passage and a cell of bands.
+        width = int(self.width.max()) + 2 * spec.band
+        until = np.searchsorted(near, np.minimum(near + width, x.start[x.doc[near] + 1]))
+        rich = np.flatnonzero(until - np.arange(len(near)) >= few)
+        if not len(rich):
             return []
+        step = np.bincount(rich, minlength=len(near) + 1) - np.bincount(until[rich], minlength=len(near) + 1)
+        ok = np.cumsum(step[:-1]) > 0
+        near, k = near[ok], k[ok]
         lo, counts = self.first[k], self.count[k]
         hit = np.repeat(lo - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
         owner, place, at = self.owner[hit], self.place[hit], np.repeat(near, counts)
         pair = x.doc[at] * items + owner
-        sort = np.sort(pair)
-        first = np.flatnonzero(np.diff(sort, prepend=-1))
-        rich = sort[first]
-        rich = rich[np.diff(first, append=len(sort)) >= self.least[rich % items]]
+        count = np.bincount(pair - pair.min()) if np.ptp(pair) < 4 * len(pair) else None
+        if count is None:  # few texts among many items: counted by sorting
+            sort = np.sort(pair)
+            first = np.flatnonzero(np.diff(sort, prepend=-1))
+            rich, count = sort[first], np.diff(first, append=len(sort))
+        else:
+            rich = np.flatnonzero(count)
+            count, rich = count[rich], rich + pair.min()
+        rich = rich[count >= self.least[rich % items]]
         if not len(rich):
             return []
-        number = np.minimum(np.searchsorted(rich, pair), len(rich) - 1)
-        keep = rich[number] == pair
-        number, place, at = number[keep], place[keep], at[keep]
+        keep, number = _among(pair, rich)
+        number, place, at = number[keep].astype(np.int64), place[keep], at[keep]
         # Cell b of a pair holds the q-grams of its bands b and b + 1. Only cells with enough of them go on.
         band = number * BANDS + np.floor_divide(place - (at - x.start[x.doc[at]]), spec.band) + BANDS // 2
         sort = np.sort(band)
