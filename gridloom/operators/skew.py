@@ -42,7 +42,8 @@ def lookup_join(
         rows = rows.filter(~is_hot | F.coalesce(keep({v: F.col(f"__h_{v}") for v in values}), F.lit(False)))
     spread = F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int") + 1
     rows = rows.withColumn("__salt", F.when(is_hot | F.coalesce(*[F.col(c).isNull() for c in on], F.lit(False)), spread).otherwise(F.lit(0)))
-    cold = derive(right).select(*on, *[F.col(v).alias(f"__c_{v}") for v in values], F.lit(0).alias("__salt"))
+    # The weight is asked for here too, so that both reads of ``right`` are one exchange with the same columns.
+    cold = derive(right.filter(F.col(weight).isNotNull())).select(*on, *[F.col(v).alias(f"__c_{v}") for v in values], F.lit(0).alias("__salt"))
     out = rows.join(cold, [*on, "__salt"], "left")
     out = out.select(*left.columns, "__hot", *[F.when(is_hot, F.col(f"__h_{v}")).otherwise(F.col(f"__c_{v}")).alias(v) for v in values])
     if keep is not None:
