@@ -92,7 +92,8 @@ def top_n(rows: DataFrame, group: str, item: str, score: str, n: int) -> DataFra
     src = rows.select(F.col(f"`{group}`").alias("g"), F.col(f"`{item}`").alias("i"), F.col(f"`{score}`").cast("double").alias("x"))
     src = src.filter("g is not null and i is not null and x is not null and not isnan(x)").select("g", "i", (F.lit(0.0) - F.col("x")).alias("s"))
     local = src.mapInArrow(_bounds(n), f"g {kinds[group]}, s double, i {kinds[item]}, c bigint")
-    bounds = local.groupBy("g").agg(F.min(F.struct("s", "i")).alias("b"), F.sum("c").alias("c"))
+    bounds = local.filter("g is not null").groupBy("g")  # said here, so that both reads of the bounds are one exchange
+    bounds = bounds.agg(F.min(F.struct("s", "i")).alias("b"), F.sum("c").alias("c"))
     kept = lookup_join(src, bounds, ["g"], ["b"], "c", keep=lambda v: v["b"].isNull() | (F.struct("s", "i") <= v["b"]))
     best = kept.groupBy("g", "i").agg(F.min("s").alias("s"))
     ranked = best.withColumn("rank", F.row_number().over(W.partitionBy("g").orderBy("s", "i"))).filter(F.col("rank") <= n)
