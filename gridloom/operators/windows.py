@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -39,19 +42,62 @@ def zscore(x: str | Column, w: WindowSpec, m: int) -> Column:
     return F.try_divide(c(x) - rolling("mean", x, w, m), F.nullif(rolling("std", x, w, m), F.lit(0.0)))
 
 
-def pct_rank_last(x: str | Column, w: WindowSpec, m: int) -> Column:
-    """Average-tie percentile rank of the current value within the frame: (less + (equal + 1) / 2) / n."""
-    got = F.collect_list(c(x)).over(w)
-    less, same = F.size(F.filter(got, lambda v: v < c(x))), F.size(F.filter(got, lambda v: v == c(x)))
-    return F.when((F.size(got) >= m) & c(x).isNotNull(), (less + (same + 1) / 2) / F.size(got))
+def in_order(df: DataFrame, key: list[str], t: str, x: str, f: Callable[[np.ndarray], np.ndarray], out: str) -> DataFrame:
+    """Add ``out`` = f(values of x in order of t) per key, for what no window function can say; NULLs are NaN in ``f`` and back.
+
+    A key's rows are one Arrow batch: for panels, whose rows per key are the
+    bars of a calendar, not for raw readings.
+    """
+    kinds = dict(df.dtypes)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(t, "ascending")])
+        values = table[x].cast(pa.float64()).to_numpy()
+        return table.append_column(out, pa.array(f(values), pa.float64(), from_pandas=True))
+
+    return df.groupBy(*key).applyInArrow(run, ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + f", `{out}` double")
+
+
+def rolling_pct_rank(df: DataFrame, key: list[str], t: str, x: str, n: int, m: int, out: str) -> DataFrame:
+    """Average-tie percentile rank of the current value among the last n rows' values: (less + (equal + 1) / 2) / n; NULL below m."""
+
+    def f(v: np.ndarray) -> np.ndarray:
+        less, same, seen = (np.zeros(len(v)) for _ in range(3))
+        for k in range(min(n, len(v))):
+            now, past = v[k:], v[: len(v) - k]
+            less[k:] += past < now
+            same[k:] += past == now
+            seen[k:] += past == past
+        return np.where((seen >= m) & (v == v), (less + (same + 1) / 2) / np.maximum(seen, 1), np.nan)
+
+    return in_order(df, key, t, x, f, out)
+
+
+def smaller_before(v: np.ndarray, block: int = 256) -> np.ndarray:
+    """How many earlier values are strictly less: within blocks by comparison, then by merging sorted blocks pairwise. NaN counts nothing."""
+    n = len(v)
+    out = np.zeros(n, np.int64)
+    for a in range(0, n, block):
+        x = v[a : a + block]
+        out[a : a + len(x)] = np.tril(x[None, :] < x[:, None], -1).sum(axis=1)
+    size = block
+    while size < n:
+        for a in range(0, n - size, 2 * size):
+            left, right = v[a : a + size], v[a + size : a + 2 * size]
+            left = np.sort(left[left == left])
+            out[a + size : a + size + len(right)] += np.where(right == right, np.searchsorted(left, right, "left"), 0)
+        size *= 2
+    return out
 
 
-def past_share_below(x: str | Column, key: list[str], t: str, m: int, n: int | None = None) -> Column:
+def past_share_below(df: DataFrame, key: list[str], t: str, x: str, m: int, out: str) -> DataFrame:
     """Share of past rows (NULL ones stay in the denominator) whose value is strictly less; NULL below m past rows."""
-    w = W.partitionBy(*key).orderBy(t).rowsBetween(W.unboundedPreceding if n is None else -n, -1)
-    less = F.size(F.filter(F.collect_list(c(x)).over(w), lambda v: v < c(x)))
-    past = F.count(F.lit(1)).over(w)
-    return F.when((past >= m) & c(x).isNotNull(), less / past)
+
+    def f(v: np.ndarray) -> np.ndarray:
+        past = np.arange(len(v))
+        return np.where((past >= m) & (v == v), smaller_before(v) / np.maximum(past, 1), np.nan)
+
+    return in_order(df, key, t, x, f, out)
 
 
 def rolling_corr(x: str | Column, y: str | Column, w: WindowSpec, m: int) -> Column:
@@ -162,33 +208,31 @@ def hedge_ratio(y: str, x: str, key: list[str], t: str, n: int | None, warm: int
     return F.when(F.row_number().over(order) > warm, F.try_divide(F.covar_samp(c(y), c(x)).over(w), F.nullif(var.over(w), F.lit(0.0))))
 
 
-def fold_in_order(df: DataFrame, key: list[str], t: str, x: str, step, out: str) -> DataFrame:
-    """A sequential fold per key over the ordered values: step(previous, value) gives the next state, the first value starts.
-
-    One array per key holds its values: for panels, whose rows per key are the
-    bars of a calendar, not for raw readings.
-    """
-    got = df.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(c(t).alias("t"), c(x).alias("x")))).alias("__a"))
-    kind = dict(df.select(c(t).alias("t"), c(x).cast("double").alias("x")).dtypes)
-    state = F.array().cast(f"array<struct<t:{kind['t']},y:double>>")
+def ewm(df: DataFrame, key: list[str], t: str, x: str, alpha: float, out: str) -> DataFrame:
+    """Exponentially weighted mean, recursive: y = alpha * x + (1 - alpha) * previous y; a NULL keeps the previous."""
 
-    def push(acc: Column, e: Column) -> Column:
-        past = F.get(acc, F.size(acc) - 1)["y"]
-        y = F.when(F.size(acc) == 0, e["x"].cast("double")).otherwise(step(past, e["x"]).cast("double"))
-        return F.concat(acc, F.array(F.struct(e["t"].alias("t"), y.alias("y"))))
+    def f(v: np.ndarray) -> np.ndarray:
+        got, y = np.empty(len(v)), math.nan
+        for i, x in enumerate(v.tolist()):
+            y = y if x != x else (x if y != y else alpha * x + (1 - alpha) * y)
+            got[i] = y
+        return got
 
-    done = got.select(*key, F.explode(F.aggregate("__a", state, push)).alias("__e"))
-    return done.select(*key, F.col("__e.t").alias(t), F.col("__e.y").alias(out))
+    return in_order(df, key, t, x, f, out)
 
 
-def ewm(df: DataFrame, key: list[str], t: str, x: str, alpha: float, out: str) -> DataFrame:
-    """Exponentially weighted mean, recursive: y = alpha * x + (1 - alpha) * previous y; a NULL keeps the previous."""
-    return fold_in_order(df, key, t, x, lambda y, v: F.coalesce(alpha * v + (1 - alpha) * y, y, v), out)
+def no_trade_band(df: DataFrame, key: list[str], t: str, x: str, band: float, out: str) -> DataFrame:
+    """Hold the previous value unless the new one is more than ``band`` away; a NULL holds it too."""
 
+    def f(v: np.ndarray) -> np.ndarray:
+        got, y = np.empty(len(v)), math.nan
+        for i, x in enumerate(v.tolist()):
+            if y != y or abs(x - y) > band:
+                y = x
+            got[i] = y
+        return got
 
-def no_trade_band(df: DataFrame, key: list[str], t: str, x: str, band: float, out: str) -> DataFrame:
-    """Hold the previous value unless the new one is more than ``band`` away."""
-    return fold_in_order(df, key, t, x, lambda y, v: F.when(F.abs(v - y) > band, v).otherwise(y), out)
+    return in_order(df, key, t, x, f, out)
 
 
 def equity(x: str | Column, key: list[str], t: str) -> Column:

@@ -329,7 +329,7 @@ def rolling_z(spark, sf):
 
 @query("select symbol, t, case when len(a) >= 24 and qv is not null then round((len(list_filter(a, lambda x: x < qv)) + (len(list_filter(a, lambda x: x = qv)) + 1) / 2.0) / len(a), 6) end as p from (select symbol, t, qv, list(qv) filter (qv is not null) over (partition by symbol order by t rows between 39 preceding and current row) as a from dense)", dense=DENSE)
 def rolling_pct_rank(spark, sf):
-    return dense(spark, sf).select("symbol", "t", r(wn.pct_rank_last("qv", wn.rows(KEY, "t", 40), 24)).alias("p"))
+    return wn.rolling_pct_rank(dense(spark, sf).select("symbol", "t", "qv"), KEY, "t", "qv", 40, 24, "p").select("symbol", "t", r("p").alias("p"))
 
 
 PAIR = "select p.symbol, p.t, p.r, i.r_m from rets p left join idx i using (t)"
@@ -440,12 +440,12 @@ def session_relative(spark, sf):
 
 @query("with recursive o as (select symbol, t, px, row_number() over (partition by symbol order by t) as i from (" + sql("select symbol, t, px from panel") + ")), f as (select symbol, t, i, px as y from o where i = 1 union all select o.symbol, o.t, o.i, 0.3 * o.px + 0.7 * f.y from f join o on o.symbol = f.symbol and o.i = f.i + 1) select symbol, t, round(y, 6) as y from f")
 def ewm_mean(spark, sf):
-    return wn.ewm(panel(spark, sf), KEY, "t", "px", 0.3, "y").withColumn("y", r("y"))
+    return wn.ewm(panel(spark, sf).select("symbol", "t", "px"), KEY, "t", "px", 0.3, "y").select("symbol", "t", r("y").alias("y"))
 
 
 @query("with recursive o as (select symbol, t, px, row_number() over (partition by symbol order by t) as i from (" + sql("select symbol, t, px from panel") + ")), f as (select symbol, t, i, px as y from o where i = 1 union all select o.symbol, o.t, o.i, case when abs(o.px - f.y) > 0.05 then o.px else f.y end from f join o on o.symbol = f.symbol and o.i = f.i + 1) select symbol, t, y from f")
 def no_trade_band(spark, sf):
-    return wn.no_trade_band(panel(spark, sf), KEY, "t", "px", 0.05, "y")
+    return wn.no_trade_band(panel(spark, sf).select("symbol", "t", "px"), KEY, "t", "px", 0.05, "y").select("symbol", "t", "y")
 
 
 @query("select symbol, t, case when row_number() over (partition by symbol order by t) > 20 then round(covar_samp(fwd_ret, fwd_rm) over w / nullif(var_pop(fwd_rm) over w, 0), 6) end as hedge from labels window w as (partition by symbol order by t rows between 20 preceding and 1 preceding)")
@@ -455,7 +455,7 @@ def hedge_overlay(spark, sf):
 
 @query("select symbol, t, case when len(a) >= 10 then round(len(list_filter(a, lambda x: x < y)) / len(a), 6) end as p from (select symbol, t, y, list(y) over (partition by symbol order by t rows between unbounded preceding and 1 preceding) as a from labels)")
 def expanding_pct(spark, sf):
-    return labels(spark, sf).select("symbol", "t", r(wn.past_share_below("y", KEY, "t", 10)).alias("p"))
+    return wn.past_share_below(labels(spark, sf).select("symbol", "t", "y"), KEY, "t", "y", 10, "p").select("symbol", "t", r("p").alias("p"))
 
 
 @query("select symbol, t, case when count(fwd_ret) over w = 3 then round(exp(sum(ln(1 + fwd_ret)) over w) - 1, 8) end as fwd3 from labels window w as (partition by symbol order by t rows between current row and 2 following)")

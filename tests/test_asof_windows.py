@@ -6,8 +6,10 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gridloom.operators import rolling
 from gridloom.operators import windows as wn
 from gridloom.operators import xsec as xs
 from gridloom.operators.asof import asof_join
@@ -61,7 +63,7 @@ def test_rolling_corr_z_and_rank(panel):
     w = wn.rows(K, "t", 15)
     roll = lambda s: s.rolling(15, min_periods=8)
     compare(df.withColumn("o", wn.zscore("x", w, 8)), pdf, "o", pdf.groupby("k").x.transform(lambda s: (s - roll(s).mean()) / roll(s).std()))
-    compare(df.withColumn("o", wn.pct_rank_last("x", w, 8)), pdf, "o", pdf.groupby("k").x.transform(lambda s: roll(s).rank(pct=True)))
+    compare(wn.rolling_pct_rank(df, K, "t", "x", 15, 8, "o"), pdf, "o", pdf.groupby("k").x.transform(lambda s: roll(s).rank(pct=True)))
     want = pdf.groupby("k")[["x", "y"]].apply(lambda g: g.x.rolling(15, min_periods=8).corr(g.y)).droplevel(0)
     compare(df.withColumn("o", wn.rolling_corr("x", "y", w, 8)), pdf, "o", want.reindex(pdf.index), 1e-7)
 
@@ -82,6 +84,42 @@ def test_folds_in_order(panel):
     compare(wn.no_trade_band(full, K, "t", "x", 0.8, "o"), f, "o", f.groupby("k").x.transform(band))
 
 
+def test_past_share_below(panel):
+    pdf, df = panel
+    v = np.random.default_rng(2).integers(0, 90, 1500).astype(float)
+    v[::13] = np.nan
+    assert wn.smaller_before(v, 16).tolist() == [int((v[:i] < v[i]).sum()) for i in range(len(v))]
+    want = pdf.groupby("k").x.transform(lambda s: pd.Series([(s.values[:i] < x).sum() / i if i >= 5 and x == x else np.nan for i, x in enumerate(s.values)], s.index))
+    compare(wn.past_share_below(df, K, "t", "x", 5, "o"), pdf, "o", want)
+
+
+@pytest.mark.parametrize("fn", ["mean", "sum", "std", "var", "min", "max", "z"])
+def test_rolled_equals_pandas(panel, fn):
+    pdf, df = panel
+    z = lambda s: (s - s.rolling(7, min_periods=4).mean()) / s.rolling(7, min_periods=4).std()
+    want = pdf.groupby("k").x.transform(z if fn == "z" else lambda s: getattr(s.rolling(7, min_periods=4), fn)())
+    compare(rolling.rolled(df, K, "t", {"o": (fn, "x", 7, 4)}), pdf, "o", want, 1e-9)
+    blocks = rolling.home(rolling.rolled(rolling.in_blocks(df.withColumn("t", F.col("t") * 40_000_000), K, "t", 7, 10), [*K, "__block"], "t", {"o": (fn, "x", 7, 4)}))
+    compare(blocks.withColumn("t", (F.col("t") / 40_000_000).cast("bigint")), pdf, "o", want, 1e-9)
+
+
+def test_constant_windows_have_no_variance(spark):
+    df = spark.createDataFrame([("a", i, 0.1) for i in range(50)], "k string, t bigint, x double")
+    got = rolling.rolled(df, K, "t", {"s": ("std", "x", 10, 2), "z": ("z", "x", 10, 2)}).collect()
+    assert all(r.z is None and (r.s == 0 or r.t == 0) for r in got)
+
+
+def test_no_task_holds_a_hot_symbol(spark):
+    """One symbol holds half of the rows; its blocks, halo included, stay small, and lags across their borders are right."""
+    day = 86_400_000
+    hot = spark.range(20_000).select(F.lit("hot").alias("k"), (F.col("id") * (day // 500)).alias("t"), F.col("id").cast("double").alias("x"))
+    rest = spark.range(20_000).select(F.concat(F.lit("c"), F.col("id") % 50).alias("k"), (F.col("id") * (day // 100)).alias("t"), F.col("id").cast("double").alias("x"))
+    b = rolling.in_blocks(hot.union(rest), K, "t", 3, 2_000)
+    assert b.groupBy("k", "__block").count().agg(F.max("count")).first()[0] <= 2_000 + 2 * 500 + 3
+    out = rolling.home(b.withColumn("d", F.col("x") - F.lag("x", 3).over(W.partitionBy("k", "__block").orderBy("t")))).filter("k = 'hot'")
+    assert out.count() == 20_000 and out.filter("d = 3").count() == 19_997
+
+
 def test_runs_and_gaps(spark):
     rows = [("a", t, v) for t, v in ((0, 1.0), (1, 2.0), (2, -1.0), (3, -2.0), (4, None), (5, -1.0), (8, 0.0))]
     df = spark.createDataFrame(rows, "k string, t bigint, x double")
