@@ -126,7 +126,8 @@ def chart_readings(readings: DataFrame, source: list[str], time: str, value: str
     s0, w0 = F.greatest((F.col("q4") - F.col("q2")) / 2, (F.col("q5") - F.col("q1")) / 3.92), (F.col("q6") - F.col("q0")) / 5.15
     base = base.select(*names, F.col("q3").alias("m0"), F.when(s0 > 0, s0).otherwise(w0).alias("s0"))
 
-    rows = raw.repartition(*names, "b").dropDuplicates([*names, "b", "t", "x"])
+    # That b is known is said here, so that counts and readings read one exchange: only one side would infer it from the join.
+    rows = raw.filter("b is not null").repartition(*names, "b").dropDuplicates([*names, "b", "t", "x"])
     blocks = ordered_blocks(rows, names, "b", spec.block_rows, spec.halo_rows, base)
 
     out_schema = ", ".join(f"{n} {dict(raw.dtypes)[n]}" for n in names) + ", t bigint, x double, frozen boolean, suspect boolean, n bigint, a double, b double, m0 double"

@@ -24,7 +24,8 @@ def in_blocks(rows: DataFrame, key: list[str], t: str, halo: int, block_rows: in
     ok = F.col(t).isNotNull()
     for k in key:
         ok = ok & F.col(k).isNotNull()
-    days = rows.filter(ok).withColumn("__day", F.floor(F.col(t) / F.lit(DAY_MS)).cast("long")).repartition(*key, "__day")
+    # That the day is known is said here, so that counts and rows read one exchange: only one side would infer it from the join.
+    days = rows.filter(ok).withColumn("__day", F.floor(F.col(t) / F.lit(DAY_MS)).cast("long")).filter("__day is not null").repartition(*key, "__day")
     return ordered_blocks(days, key, "__day", block_rows, halo)
 
 
