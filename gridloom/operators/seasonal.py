@@ -46,12 +46,14 @@ def regular_grid(
     periods_ms: tuple[int, ...] = (DAY_MS, 7 * DAY_MS, 7 * DAY_MS // 2),
     trend_ms: int = 90 * DAY_MS,
     ridge: float = 1e-9,
+    far: float = 8.0,
+    tune: float = 4.685,
 ) -> DataFrame:
     """Bring readings onto slots [s, s+step) that lie wholly in a live range of their source.
 
     ``readings``: src, k, t (ms), x; only rows with a usable x. ``ranges``: src, k, live_from, live_to.
-    Returns src, k, live_from, slot, observed (mean of the slot's readings, or
-    NULL), n, fitted, filled (observed, else fitted plus the bridged
+    Returns src, k, live_from, slot, observed (mean of the slot's distinct readings, or
+    NULL), n (their number), fitted, filled (observed, else fitted plus the bridged
     residual; NULL for a source without any reading in its ranges), and
     state: 'observed', 'filled' or 'empty' (nothing to fill from).
 
@@ -59,11 +61,13 @@ def regular_grid(
     aggregated per source with map-side combining; each source's small system
     is solved in an Arrow batch; missing slots get the prediction plus the
     residual interpolated linearly between the nearest observed slots of the
-    same range, or that of the only one.
+    same range, or that of the only one. Spikes don't pull the fit: slots further than ``far``
+    quartile ranges from the source's median stay out of a first one, and
+    those whose residual is over ``tune`` robust scales out of the second and
+    of the bridges; between, weights fall smoothly (bisquare).
 
     Defined cases: NULL or NaN x, NULL time or key are no readings; infinite x
-    is none here. Repeated rows don't change which slots are observed, but
-    weigh in the mean unless dropped before. Readings outside a whole slot of
+    is none here. Repeated (src, k, t, x) rows count once. Readings outside a whole slot of
     a live range are ignored; ranges without a whole slot give no rows; equal
     ranges count once. A window over a range holds its slots (time over step), never its readings.
     """
@@ -73,7 +77,8 @@ def regular_grid(
     grid = live.filter(last >= first).select("src", "k", "live_from", F.explode(F.sequence(first, last)).alias("i"))
     grid = grid.select("src", "k", "live_from", (F.col("i") * step_ms).alias("slot"))
     ok = readings.filter(F.col("k").isNotNull() & F.col("t").isNotNull() & F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") < F.lit(float("inf"))))
-    seen = ok.groupBy("src", "k", (F.floor(F.col("t") / F.lit(step_ms)).cast("long") * step_ms).alias("slot")).agg(F.avg("x").alias("observed"), F.count("x").alias("n"))
+    once = ok.groupBy("src", "k", F.col("t").cast("long").alias("t"), F.col("x").cast("double").alias("x")).agg(F.lit(1).alias("one"))
+    seen = once.groupBy("src", "k", (F.floor(F.col("t") / F.lit(step_ms)).cast("long") * step_ms).alias("slot")).agg(F.avg("x").alias("observed"), F.count("x").alias("n"))
     # The optimizer takes an exploded table for as small as its source and would broadcast it: ask for a merge.
     rows = grid.hint("merge").join(seen, ["src", "k", "slot"], "left")
 
@@ -81,15 +86,33 @@ def regular_grid(
     p = len(cols)
     rows = rows.withColumn("f", F.array(*cols))
     f = [F.col("f")[i] for i in range(p)]
-    sums = rows.filter("observed is not null").groupBy("src", "k").agg(
-        F.array(*[F.sum(f[i] * f[j]) for i in range(p) for j in range(i, p)]).alias("xtx"), F.array(*[F.sum(f[i] * F.col("observed")) for i in range(p)]).alias("xty")
-    )
-    fit = sums.select("src", "k", _solve(p, ridge)("xtx", "xty").alias("beta"))
-    rows = rows.join(fit, ["src", "k"], "left")
-    fitted = f[0] * F.col("beta")[0]
-    for i in range(1, p):
-        fitted = fitted + f[i] * F.col("beta")[i]
-    rows = rows.withColumn("fitted", fitted).drop("f", "beta").withColumn("r", F.col("observed") - F.col("fitted"))
+
+    def solved(d: DataFrame, weight: Column, out: str) -> DataFrame:
+        """Coefficients of each source's weighted least squares."""
+        g = d.filter("observed is not null").withColumn("w", weight)
+        sums = g.groupBy("src", "k").agg(
+            F.array(*[F.sum(F.col("w") * f[i] * f[j]) for i in range(p) for j in range(i, p)]).alias("xtx"), F.array(*[F.sum(F.col("w") * f[i] * F.col("observed")) for i in range(p)]).alias("xty")
+        )
+        return sums.select("src", "k", _solve(p, ridge)("xtx", "xty").alias(out))
+
+    def predicted(beta: str) -> Column:
+        out = f[0] * F.col(beta)[0]
+        for i in range(1, p):
+            out = out + f[i] * F.col(beta)[i]
+        return out
+
+    quarters = rows.filter("observed is not null").groupBy("src", "k").agg(F.percentile_approx("observed", [0.25, 0.5, 0.75], 1000).alias("q"))
+    rows = rows.join(quarters, ["src", "k"], "left")
+    near = (F.abs(F.col("observed") - F.col("q")[1]) <= far * (F.col("q")[2] - F.col("q")[0])).cast("double")
+    rows = rows.join(solved(rows, near, "first"), ["src", "k"], "left")
+    off = F.abs(F.col("observed") - predicted("first"))
+    scales = rows.filter("observed is not null").groupBy("src", "k").agg((1.4826 * F.percentile_approx(off, 0.5, 1000)).alias("scale"))
+    rows = rows.join(scales, ["src", "k"], "left")
+    share = F.try_divide(off, tune * F.col("scale"))
+    # A source fitted without a residual has no scale, and all its slots count.
+    trust = F.when(F.coalesce(F.col("scale"), F.lit(0.0)) <= 0, 1.0).when(share < 1, F.pow(1 - share * share, 2)).otherwise(0.0)
+    rows = rows.join(solved(rows, trust, "beta"), ["src", "k"], "left")
+    rows = rows.withColumn("fitted", predicted("beta")).withColumn("r", F.when(trust > 0, F.col("observed") - F.col("fitted"))).drop("f", "beta", "first", "q", "scale")
 
     along = W.partitionBy("src", "k", "live_from").orderBy("slot")
     mark = F.when(F.col("r").isNotNull(), F.struct("slot", "r"))

@@ -58,6 +58,11 @@ def p5_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regular_grid(a.unionByName(b), live, SLOT_MS)
 
 
+def p5_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each slot of both sources' grids holds: the total of its distinct readings (mean times number) and their number."""
+    return p5_grid(spark, sf_dir).select("src", F.col("k").alias("symbol"), "live_from", "slot", F.round(F.col("observed") * F.col("n"), 7).alias("total"), "n")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_grid(spark, sf_dir).filter("state <> 'observed'").select("src", F.col("k").alias("symbol"), "slot").distinct()
 
@@ -82,7 +87,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_totals(spark, sf_dir).filter(F.signum("total_7") * F.signum("total_30") < 0).select(F.col("k").alias("symbol"), _day(F.col("day")))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_attributes": p2_attributes, "p4_found": p4_found, "p4_index": p4_index, "p5_found": p5_found, "p5_grid": p5_grid, "p7_found": p7_found, "p7_trailing": p7_trailing}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_attributes": p2_attributes, "p4_found": p4_found, "p4_index": p4_index, "p5_found": p5_found, "p5_grid": p5_grid, "p5_observed": p5_observed, "p7_found": p7_found, "p7_trailing": p7_trailing}
 
 _P2 = """
 with d as (select distinct symbol, t_obs from decision_grid_8h where symbol is not null and t_obs is not null),
@@ -145,6 +150,14 @@ where isinf(x) or (z.field <> 'target' and x <= -1) or abs(x - n.m) > 10 * n.s o
     "p2_attributes": _P2 + "select symbol, t_obs, beta, sigma_eps, t_obs - k as age_ms from j where rn = 1",
     "p4_found": _P4,
     "p5_found": _P5,
+    "p5_observed": """
+with s as (select distinct symbol, live_from, live_to from listings where not starts_with(symbol, 'IDX_')),
+g as (select symbol, live_from, unnest(generate_series(cast(ceil(live_from / 28800000.0) as bigint) * 28800000, (live_to // 28800000) * 28800000 - 28800000, 28800000)) as slot from s),
+r as (select distinct 'returns_1h' as src, symbol, t, ret as x from returns_1h union all select distinct 'decision_grid_8h', symbol, t_obs, px_obs from decision_grid_8h),
+m as (select src, symbol, t // 28800000 * 28800000 as slot, avg(x) as observed, count(*) as n from r where x is not null and not isnan(x) and not isinf(x) group by all)
+select k.src, g.symbol, g.live_from, g.slot, round(m.observed * m.n, 7) as total, coalesce(m.n, 0) as n
+from g, (values ('returns_1h'), ('decision_grid_8h')) k(src) left join m on m.src = k.src and m.symbol = g.symbol and m.slot = g.slot
+""",
     "p7_found": _P7 + "select k as symbol, strftime(make_date(cast(day as int)), '%Y-%m-%d') as day from w where a * b < 0",
     "p7_trailing": _P7 + "select k as symbol, strftime(make_date(cast(day as int)), '%Y-%m-%d') as day, cast(a as bigint) as total_7, cast(na as bigint) as n_7, round(a / 1e6 / nullif(na, 0), 9) as mean_7, cast(b as bigint) as total_30, cast(nb as bigint) as n_30, round(b / 1e6 / nullif(nb, 0), 9) as mean_30 from w",
 }

@@ -90,3 +90,21 @@ def test_grid_cases(spark):
     out = grid(spark, [("s", "a", 1, None, ""), ("s", "a", 2, math.nan, ""), ("s", "a", 3, math.inf, ""), ("s", None, 3, 1.0, ""), ("s", "b", step, 2.0, "")], [("s", "a", 0, 2 * step), ("s", "b", 0, 2 * step), ("s", "c", 5, step), ("s", "b", 0, 2 * step)])
     assert sorted((r.k, r.slot // step, r.state) for r in out) == [("a", 0, "empty"), ("a", 1, "empty"), ("b", 0, "filled"), ("b", 1, "observed")]
     assert grid(spark, [], [("s", "a", 0, 5)]) == [] and grid(spark, [], []) == []
+
+
+def test_equal_rows_count_once_in_a_slot(spark):
+    step = 8 * 3_600_000
+    out = grid(spark, [("s", "a", 5, 1.0, "p"), ("s", "a", 5, 1.0, "q"), ("s", "a", 5, 1.0, "p"), ("s", "a", 9, 5.0, "p"), ("s", "a", 7, 1.0, "p")], [("s", "a", 0, step)])
+    assert [(r.observed, r.n) for r in out] == [(7 / 3, 3)]
+
+
+def test_spikes_do_not_pull_the_fit(spark):
+    step = 8 * 3_600_000
+    rng = random.Random(1)
+    f = lambda i: 5 + 0.01 * i + math.sin(2 * math.pi * i / 3) + 0.5 * math.cos(2 * math.pi * i / 21) + rng.gauss(0, 0.01)
+    values = {i: f(i) for i in range(0, 200)}
+    reads = [("s", "a", i * step + 7, v + (1000 if i % 19 == 4 else 20 if i % 23 == 6 else 0), "x") for i, v in values.items() if i % 7]
+    out = {r.slot // step: r for r in grid(spark, reads, [("s", "a", 0, 200 * step)])}
+    assert max(abs(out[i].fitted - v) for i, v in values.items()) < 0.1
+    assert max(abs(out[i].filled - v) for i, v in values.items() if i % 7 == 0) < 0.1
+    assert out[4].observed > 1000 and out[4].filled == out[4].observed
