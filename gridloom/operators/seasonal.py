@@ -46,8 +46,8 @@ def regular_grid(
     periods_ms: tuple[int, ...] = (DAY_MS, 7 * DAY_MS, 7 * DAY_MS // 2),
     trend_ms: int = 90 * DAY_MS,
     ridge: float = 1e-9,
-    far: float = 8.0,
-    tune: float = 4.685,
+    beside: int = 3,
+    tune: float = 6.0,
 ) -> DataFrame:
     """Bring readings onto slots [s, s+step) that lie wholly in a live range of their source.
 
@@ -61,15 +61,15 @@ def regular_grid(
     aggregated per source with map-side combining; each source's small system
     is solved in an Arrow batch; missing slots get the prediction plus the
     residual interpolated linearly between the nearest observed slots of the
-    same range, or that of the only one. Spikes don't pull the fit: slots further than ``far``
-    quartile ranges from the source's median stay out of a first one, and
-    those whose residual is over ``tune`` robust scales out of the second and
-    of the bridges; between, weights fall smoothly (bisquare).
+    same range, or that of the only one. Spikes don't pull the fit: a slot's weight falls
+    (bisquare) with its distance from the median of the observed slots among the
+    ``beside`` on either side, to nothing at ``tune`` of the source's
+    robust scales of that distance; slots without weight end no bridge.
 
     Defined cases: NULL or NaN x, NULL time or key are no readings; infinite x
     is none here. Repeated (src, k, t, x) rows count once. Readings outside a whole slot of
     a live range are ignored; ranges without a whole slot give no rows; equal
-    ranges count once. A window over a range holds its slots (time over step), never its readings.
+    ranges count once. Windows over a source or range hold its slots (time over step), never its readings.
     """
     live = ranges.filter("k is not null and live_from is not null and live_to is not null").select("src", "k", "live_from", "live_to").distinct()
     first = F.ceil(F.col("live_from") / F.lit(step_ms)).cast("long")
@@ -82,37 +82,32 @@ def regular_grid(
     # The optimizer takes an exploded table for as small as its source and would broadcast it: ask for a merge.
     rows = grid.hint("merge").join(seen, ["src", "k", "slot"], "left")
 
+    # How far each slot lies from its neighbours, and how far the source's slots usually do.
+    order = W.partitionBy("src", "k").orderBy("slot")
+    around = F.array_sort(F.array_compact(F.array(*[g("observed", i).over(order) for g in (F.lag, F.lead) for i in range(1, beside + 1)])))
+    size = F.size(around)
+    middle = F.when(size > 0, (F.get(around, F.floor((size - 1) / 2).cast("int")) + F.get(around, F.floor(size / 2).cast("int"))) / 2)
+    rows = rows.withColumn("off", F.abs(F.col("observed") - middle))
+    rows = rows.withColumn("scale", 1.4826 * F.percentile_approx("off", 0.5, 1000).over(W.partitionBy("src", "k")))
+    share = F.try_divide(F.col("off"), tune * F.col("scale"))
+    # Without neighbours, or where they usually are equal, there is no telling.
+    trust = F.when(F.col("off").isNull() | (F.col("scale") <= 0), 1.0).when(share < 1, F.pow(1 - share * share, 2)).otherwise(0.0)
+    rows = rows.withColumn("w", F.when(F.col("observed").isNotNull(), trust)).drop("off", "scale")
+
     cols = basis(F.col("slot").cast("double"), F.col("live_from").cast("double"), list(periods_ms), trend_ms)
     p = len(cols)
     rows = rows.withColumn("f", F.array(*cols))
     f = [F.col("f")[i] for i in range(p)]
-
-    def solved(d: DataFrame, weight: Column, out: str) -> DataFrame:
-        """Coefficients of each source's weighted least squares."""
-        g = d.filter("observed is not null").withColumn("w", weight)
-        sums = g.groupBy("src", "k").agg(
-            F.array(*[F.sum(F.col("w") * f[i] * f[j]) for i in range(p) for j in range(i, p)]).alias("xtx"), F.array(*[F.sum(F.col("w") * f[i] * F.col("observed")) for i in range(p)]).alias("xty")
-        )
-        return sums.select("src", "k", _solve(p, ridge)("xtx", "xty").alias(out))
-
-    def predicted(beta: str) -> Column:
-        out = f[0] * F.col(beta)[0]
-        for i in range(1, p):
-            out = out + f[i] * F.col(beta)[i]
-        return out
-
-    quarters = rows.filter("observed is not null").groupBy("src", "k").agg(F.percentile_approx("observed", [0.25, 0.5, 0.75], 1000).alias("q"))
-    rows = rows.join(quarters, ["src", "k"], "left")
-    near = (F.abs(F.col("observed") - F.col("q")[1]) <= far * (F.col("q")[2] - F.col("q")[0])).cast("double")
-    rows = rows.join(solved(rows, near, "first"), ["src", "k"], "left")
-    off = F.abs(F.col("observed") - predicted("first"))
-    scales = rows.filter("observed is not null").groupBy("src", "k").agg((1.4826 * F.percentile_approx(off, 0.5, 1000)).alias("scale"))
-    rows = rows.join(scales, ["src", "k"], "left")
-    share = F.try_divide(off, tune * F.col("scale"))
-    # A source fitted without a residual has no scale, and all its slots count.
-    trust = F.when(F.coalesce(F.col("scale"), F.lit(0.0)) <= 0, 1.0).when(share < 1, F.pow(1 - share * share, 2)).otherwise(0.0)
-    rows = rows.join(solved(rows, trust, "beta"), ["src", "k"], "left")
-    rows = rows.withColumn("fitted", predicted("beta")).withColumn("r", F.when(trust > 0, F.col("observed") - F.col("fitted"))).drop("f", "beta", "first", "q", "scale")
+    w = F.col("w")
+    sums = rows.filter("observed is not null").groupBy("src", "k").agg(
+        F.array(*[F.sum(w * f[i] * f[j]) for i in range(p) for j in range(i, p)]).alias("xtx"), F.array(*[F.sum(w * f[i] * F.col("observed")) for i in range(p)]).alias("xty")
+    )
+    fit = sums.select("src", "k", _solve(p, ridge)("xtx", "xty").alias("beta"))
+    rows = rows.join(fit, ["src", "k"], "left")
+    fitted = f[0] * F.col("beta")[0]
+    for i in range(1, p):
+        fitted = fitted + f[i] * F.col("beta")[i]
+    rows = rows.withColumn("fitted", fitted).withColumn("r", F.when(w > 0, F.col("observed") - F.col("fitted"))).drop("f", "beta", "w")
 
     along = W.partitionBy("src", "k", "live_from").orderBy("slot")
     mark = F.when(F.col("r").isNotNull(), F.struct("slot", "r"))
