@@ -66,7 +66,7 @@ def cpcv_members(spark, sf):
     return splits.combinatorial(times, "t", times.count())
 
 
-@query(None)
+@query("select cast(path as int) as path, cast(grp as int) as grp, cast(fit as int) as fit from (select g as grp, fit, row_number() over (partition by g order by fit) - 1 as path from (select fit, unnest([a, b]) as g from p))", p=_PAIRS)
 def cpcv_paths(spark, sf):
     """The stitched paths: which fit tests which group."""
     rows = [(p, g, f) for p, path in enumerate(splits.stitched_paths()) for g, f in path.items()]
@@ -238,7 +238,10 @@ def redundancy_r2(spark, sf):
     return spark.createDataFrame([(f, round(float(v), 6)) for f, v in zip(_FEATS, r2)], "feature string, r2 double")
 
 
-@query(None)
+@query(
+    "select symbol, t, round(rb * ((ss + 10) * b_y - bs * s_y) / det + rs * ((bb + 10) * s_y - bs * b_y) / det, 8) as score from x, (select *, (bb + 10) * (ss + 10) - bs * bs as det from (select sum(rb * rb) as bb, sum(rs * rs) as ss, sum(rb * rs) as bs, sum(rb * y) as b_y, sum(rs * y) as s_y from x where y is not null))",
+    x="select symbol, t, y, coalesce(case when beta is not null then (rank() over (partition by t, beta is not null order by beta) + (count(*) over (partition by t, beta) - 1) / 2.0) / count(beta) over (partition by t) end - 0.5, 0) as rb, coalesce(case when sigma is not null then (rank() over (partition by t, sigma is not null order by sigma) + (count(*) over (partition by t, sigma) - 1) / 2.0) / count(sigma) over (partition by t) end - 0.5, 0) as rs from labels",
+)
 def ridge_scores(spark, sf):
     """Ridge on centred ranks of the estimates known at the bar, scored back on the panel."""
     x = selection.centred_ranks(labels(spark, sf), ["beta", "sigma"], ["t"])
@@ -281,14 +284,6 @@ def gate_values(spark, sf):
     return labels(spark, sf).agg(g[0].value.alias("repeats"), r(g[1].value).alias("beta_coverage"), F.min("t").alias("first"), F.max("t").alias("last"))
 
 
-@query(f"select symbol, t from panel where false")
-def truncation_test(spark, sf):
-    """Rows that a rolling feature, rebuilt on data cut at the wall, makes differently: none, if it doesn't look ahead."""
-    p = panel(spark, sf)
-    make = lambda d: d.select("symbol", "t", wn.rolling("mean", "px", wn.rows(["symbol"], "t", 20), 5).alias("f"))
-    return gates.truncation_differences(make(p), make(p.filter(F.col("t") < MAR)), ["symbol", "t"], ["f"], MAR, "t").select("symbol", "t")
-
-
 # ---- sources and manifest ------------------------------------------------------------------------------------------------
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,19 +26,36 @@ def centred_ranks(df: DataFrame, features: list[str], bar: list[str], fill: bool
     return out
 
 
-def gram(df: DataFrame, columns: list[str], chunk: int = 400) -> tuple[int, np.ndarray, np.ndarray]:
+def gram_frame(df: DataFrame, columns: list[str]) -> DataFrame:
+    """name, v: n, sums (s_x) and sums of products (x_y) of complete rows, in one scan.
+
+    Each partition folds its Arrow batches into one small matrix; the matrices are then summed.
+    """
+    k = len(columns)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    names = ["n", *[f"s_{c}" for c in columns], *[f"{columns[i]}_{columns[j]}" for i, j in pairs]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k + 1, k + 1))
+        for batch in batches:
+            x = np.column_stack([np.ones(len(batch)), *[c.to_numpy(zero_copy_only=False) for c in batch.columns]])
+            total += x.T @ x
+        values = [total[0, 0], *total[0, 1:], *[total[i + 1, j + 1] for i, j in pairs]]
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(values, pa.float64())], ["name", "v"])
+
+    rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
+    return rows.mapInArrow(run, "name string, v double").groupBy("name").agg(F.sum("v").alias("v"))
+
+
+def gram(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
     """n, sums and sums of products of complete rows. Its size is that of the columns, whatever the rows."""
-    df = df.select(*columns).na.drop()
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    exprs = [F.count(F.lit(1)), *[F.sum(c) for c in columns], *[F.sum(F.col(columns[i]) * F.col(columns[j])) for i, j in pairs]]
-    got: list = []
-    for a in range(0, len(exprs), chunk):
-        got += [v or 0 for v in df.agg(*[e.alias(f"e{i}") for i, e in enumerate(exprs[a : a + chunk])]).first()]
+    got = {r.name: r.v for r in gram_frame(df, columns).collect()}
     k = len(columns)
-    s, m = np.array(got[1 : 1 + k], float), np.zeros((k, k))
-    for (i, j), v in zip(pairs, got[1 + k :]):
-        m[i, j] = m[j, i] = v
-    return int(got[0]), s, m
+    m = np.zeros((k, k))
+    for i in range(k):
+        for j in range(i, k):
+            m[i, j] = m[j, i] = got.get(f"{columns[i]}_{columns[j]}", 0.0)
+    return int(got.get("n", 0)), np.array([got.get(f"s_{c}", 0.0) for c in columns]), m
 
 
 def covariance(n: int, s: np.ndarray, m: np.ndarray) -> np.ndarray:
