@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-import os
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -86,6 +86,12 @@ def assign_offsets(files: DataFrame, target: int, max_files: int) -> DataFrame:
     return dealt.select(*files.columns, F.concat_ws("-", F.lpad(F.col("__shard").cast("string"), 6, "0"), F.lpad(F.col("__part").cast("string"), 6, "0")).alias("container"), (F.col("__before") - first).alias("offset"))
 
 
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or URI (file, hdfs, s3 and what else Arrow knows) and the path within it."""
+    fs, inner = pafs.FileSystem.from_uri(path)
+    return fs, inner.rstrip("/")
+
+
 def pack_files(spark: SparkSession, glob: str, out_dir: str, target_bytes: int = TARGET_BYTES, shards: int | None = None) -> DataFrame:
     """Pack the files that match ``glob`` into containers under ``out_dir`` and return their index.
 
@@ -95,37 +101,38 @@ def pack_files(spark: SparkSession, glob: str, out_dir: str, target_bytes: int =
     content with very many copies makes no task large. A container is written
     under a fresh name and only the committed index refers to it: a task that
     is retried leaves at most an unreferenced file, which readers never see.
-    ``out_dir`` must be a folder all executors share. Files of zero length hold
+    ``out_dir`` is a path or URI that all executors reach. Files of zero length hold
     no record and aren't listed by Spark's file sources: they get no entry.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(glob).select("path", "length", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(glob)
+    # Contents are read twice: once for their checksums, and those that are the first of their kind once more to be stored.
+    files.select("path", "length", F.sha2("content", 256).alias("checksum")).write.mode("overwrite").parquet(f"{out_dir}/listed")
+    listed = spark.read.parquet(f"{out_dir}/listed")
     if shards is None:
-        size = files.agg(F.sum("length")).first()[0] or 0
+        size = listed.agg(F.sum("length")).first()[0] or 0
         shards = max(1, -(-size // (8 * target_bytes)))
-    files = files.withColumn("checksum", F.sha2("content", 256))
-    listed = files.select("path", "checksum")
+    listed = listed.select("path", "checksum")
     firsts = listed.groupBy("checksum").agg(F.min("path").alias("path"), F.count(F.lit(1)).alias("w"))
-    dealt = files.join(firsts.select("path"), "path", "left_semi").repartition(shards, "path").sortWithinPartitions("path")
+    dealt = files.select("path", "content").join(firsts.select("path", "checksum"), "path").repartition(shards, "path").sortWithinPartitions("path")
     data = f"{out_dir}/data"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.makedirs(data, exist_ok=True)
+        fs, folder = file_system(data)
+        fs.create_dir(folder, recursive=True)
         out, name, at = None, "", 0
         for batch in batches:
             rows = {"path": [], "container": [], "offset": [], "length": [], "checksum": []}
             for path, content, checksum in zip(batch["path"].to_pylist(), batch["content"], batch["checksum"].to_pylist()):
-                body = content.as_py()
+                body = content.as_buffer()
                 if out is None or at + len(body) > target_bytes and at:
                     if out:
                         out.close()
                     name, at = f"{uuid.uuid4().hex}.pack", 0
-                    out = open(f"{data}/{name}", "wb")  # noqa: SIM115
+                    out = fs.open_output_stream(f"{folder}/{name}")
                 for c, v in zip(rows, (path, name, at, len(body), checksum)):
                     rows[c].append(v)
                 out.write(body)
                 at += len(body)
-            if out:
-                out.flush()
             yield pa.RecordBatch.from_pydict(rows, pa.schema([("path", pa.string()), ("container", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("checksum", pa.string())]))
         if out:
             out.close()
@@ -140,6 +147,7 @@ def read_packed(index: DataFrame, out_dir: str, verify: bool = True) -> DataFram
     """Original bytes of the indexed files (path, content), read in parallel by container; raises on a checksum that differs."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, folder = file_system(f"{out_dir}/data")
         name, f = "", None
         for batch in batches:
             paths, bodies = [], []
@@ -147,7 +155,7 @@ def read_packed(index: DataFrame, out_dir: str, verify: bool = True) -> DataFram
                 if container != name:
                     if f:
                         f.close()
-                    name, f = container, open(f"{out_dir}/data/{container}", "rb")  # noqa: SIM115
+                    name, f = container, fs.open_input_file(f"{folder}/{container}")
                 f.seek(offset)
                 body = f.read(length)
                 if verify and hashlib.sha256(body).hexdigest() != checksum:

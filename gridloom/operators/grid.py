@@ -45,6 +45,19 @@ def range_window(key: list[str], t: str, low: int, high: int):
     return W.partitionBy(*key).orderBy(t).rangeBetween(low, high)
 
 
+def range_blocks(rows: DataFrame, t: str, low: int, high: int, width: int = 86_400_000) -> DataFrame:
+    """Rows cut into blocks of ``width`` in time, each with the neighbours that a window over [t+low, t+high] can reach.
+
+    Adds ``__block`` and ``__home``: a window by (key, ``__block``) is right for
+    the rows at home, and no task holds a key. A row is a guest where it is in reach, so nothing is copied but
+    along the borders. NULL times are left out.
+    """
+    at = lambda d: F.floor((F.col(t) + F.lit(d)) / F.lit(width)).cast("bigint")
+    own = rows.filter(F.col(t).isNotNull()).withColumn("__own", at(0))
+    own = own.withColumn("__block", F.explode(F.sequence(at(min(-high, 0)), at(max(-low, 0)))))
+    return own.withColumn("__home", F.col("__block") == F.col("__own")).drop("__own")
+
+
 def contiguous_runs(rows: DataFrame, key: list[str], t: str, step: int) -> DataFrame:
     """Collapse instants to runs of successive steps: key, first, last, n."""
     island = F.col(t) - F.row_number().over(W.partitionBy(*key).orderBy(t)).cast("bigint") * F.lit(step)

@@ -12,7 +12,8 @@ from gridloom.operators import windows as wn
 from gridloom.operators import xsec as xs
 from gridloom.functions.stats import corr
 from gridloom.operators.asof import asof_join
-from gridloom.operators.grid import bucket_sums, census_of_gaps, contiguous_runs, densify, range_window
+from gridloom.operators.grid import bucket_sums, census_of_gaps, contiguous_runs, densify, range_blocks, range_window
+from gridloom.operators.rolling import home, in_blocks
 from gridloom.plans.base import STEP, bars, betas, book, index, labels, panel, read, sql, tape, usable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,7 +89,8 @@ def asof_skip_null(spark, sf):
 @query("select p.symbol, p.t_obs, f.v1 from (select distinct symbol, t_obs from decision_grid_8h) p asof left join (select symbol, t, lag(c) over (partition by symbol order by t) as v1 from (select symbol, t, max(close) as c from bars group by all)) f on f.symbol = p.symbol and p.t_obs >= f.t")
 def asof_back_step(spark, sf):
     """Value of the row before the last one: step back on the fact side, then join as of."""
-    facts = bars(spark, sf).groupBy("symbol", "t").agg(F.max("close").alias("c")).withColumn("v1", F.lag("c").over(W.partitionBy("symbol").orderBy("t")))
+    facts = in_blocks(bars(spark, sf).groupBy("symbol", "t").agg(F.max("close").alias("c")), KEY, "t", 1)
+    facts = home(facts.withColumn("v1", F.lag("c").over(W.partitionBy("symbol", "__block").orderBy("t"))))
     return asof_join(_probes(spark, sf), facts, KEY, "t_obs", "t", ["v1"]).drop("asof_time")
 
 
@@ -282,13 +284,15 @@ def bucket_flow_left(spark, sf):
 
 @query("select symbol, t, r, round(sum(r) over (partition by symbol order by t range between 86399999 preceding and current row), 6) as day_sum, count(*) over (partition by symbol order by t range between 86399999 preceding and current row) as day_n from tape")
 def trailing_range_sum(spark, sf):
-    w = range_window(KEY, "t", -86_399_999, 0)
-    return tape(spark, sf).select("symbol", "t", "r", r(F.sum("r").over(w)).alias("day_sum"), F.count(F.lit(1)).over(w).alias("day_n"))
+    w = range_window([*KEY, "__block"], "t", -86_399_999, 0)
+    x = range_blocks(tape(spark, sf), "t", -86_399_999, 0)
+    return x.select("symbol", "t", "r", r(F.sum("r").over(w)).alias("day_sum"), F.count(F.lit(1)).over(w).alias("day_n"), "__home").filter("__home").drop("__home")
 
 
 @query("select symbol, t, r, round(sum(r) over (partition by symbol order by t range between 1 following and 28800000 following), 6) as ahead from tape")
 def forward_range_sum(spark, sf):
-    return tape(spark, sf).select("symbol", "t", "r", r(F.sum("r").over(range_window(KEY, "t", 1, STEP))).alias("ahead"))
+    x = range_blocks(tape(spark, sf), "t", 1, STEP)
+    return x.select("symbol", "t", "r", r(F.sum("r").over(range_window([*KEY, "__block"], "t", 1, STEP))).alias("ahead"), "__home").filter("__home").drop("__home")
 
 
 @query("select symbol, bar, case when n >= 5 and vx > 0 then round(slope, 6) end as slope, case when n >= 5 then round(cov, 10) end as cov, case when n >= 5 and vx > 0 then round(rho, 6) end as rho from (select symbol, cast(ceil(t / 28800000.0) as bigint) * 28800000 as bar, count(*) as n, var_pop(quote_volume) as vx, regr_slope(trade_count, quote_volume) as slope, covar_pop(trade_count, volume) as cov, corr(trade_count, quote_volume) as rho from bars where quote_volume is not null and volume is not null and trade_count is not null and not isnan(quote_volume) and not isnan(volume) group by all)")

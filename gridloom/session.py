@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "gridloom", cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -31,3 +34,17 @@ def build_session(app: str = "gridloom", cores: int | str = "*", shuffle_partiti
 def shared_dir(spark: SparkSession, default: str) -> str:
     """The folder all executors share: spark.checkpoint.dir, or ``default`` where that is unset (tests, local runs)."""
     return spark.conf.get("spark.checkpoint.dir", None) or default
+
+
+def cached(spark: SparkSession, name: str, params: dict, build: Callable[[], DataFrame], default: str) -> DataFrame:
+    """A table written once per set of parameters in the shared folder and read from there, which also cuts its lineage.
+
+    Its place is named by the parameters, so that another lag or window never
+    reads it. A table that was not wholly written has no success mark and is built again.
+    """
+    key = hashlib.sha256(json.dumps(params, sort_keys=True, default=str).encode()).hexdigest()[:16]
+    path = f"{shared_dir(spark, default)}/{name}-{key}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyarrow import csv
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -45,6 +46,7 @@ class Dataset:
         return "/".join(p for p in parts if p) + "/"
 
 
+# The archive's datasets, where they lie below its root (less the leading data/), and its names for columns.
 _BOTH = ("monthly", "daily")
 CATALOGUE = {
     d.name: d
@@ -89,38 +91,42 @@ def scan_zips(spark: SparkSession, glob: str, spec: Dataset) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(glob).select("path", "content")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([*[(c, pa.string()) for c in cols], ("src_path", pa.string())])
         for batch in batches:
             for path, content in zip(batch["path"].to_pylist(), batch["content"]):
                 with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
                     for name in z.namelist():
-                        order, rows = cols, []
-                        for line in io.TextIOWrapper(z.open(name), "utf-8-sig"):
-                            v = line.rstrip("\r\n").split(",")
-                            if not rows and order is cols and not re.match(r"^\s*\d", v[0]):
-                                order = [ALIASES.get(x.strip(), x.strip()) for x in v]
-                                continue
-                            if v != [""]:
-                                rows.append(dict(zip(order, v)))
-                            if len(rows) == 65_536:
-                                yield pa.RecordBatch.from_pylist([{c: r.get(c) for c in cols} | {"src_path": path} for r in rows], schema)
-                                rows = [{}][:0]
-                        if rows:
-                            yield pa.RecordBatch.from_pylist([{c: r.get(c) for c in cols} | {"src_path": path} for r in rows], schema)
+                        with z.open(name) as f:
+                            first = f.readline().decode("utf-8-sig").strip().split(",")
+                        head = not re.match(r"^\s*\d", first[0])
+                        order = [ALIASES.get(x.strip(), x.strip()) for x in first] if head else [*cols, *[f"more_{i}" for i in range(len(cols), len(first))]][: len(first)]
+                        if first == [""]:
+                            continue
+                        with z.open(name) as f:
+                            options = csv.ReadOptions(column_names=order, skip_rows=int(head), block_size=8 << 20)
+                            for part in csv.open_csv(f, options, convert_options=csv.ConvertOptions(column_types={c: pa.string() for c in order}, strings_can_be_null=False)):
+                                got = dict(zip(part.schema.names, part.columns))
+                                data = [got.get(c, pa.nulls(len(part), pa.string())) for c in cols]
+                                yield pa.RecordBatch.from_arrays([*data, pa.array([path] * len(part), pa.string())], [*cols, "src_path"])
 
     kinds = ", ".join(f"`{c}` string" for c in [*cols, "src_path"])
     return typed(files.mapInArrow(read, kinds), spec)
 
 
 def write_partitioned(df: DataFrame, path: str, time: str, symbol: str = "symbol") -> None:
-    """zstd parquet by symbol and month, sorted by time within its files."""
+    """zstd parquet by symbol and month, sorted by time within its files.
+
+    The shuffle is a rebalance: adaptive execution cuts a large symbol and month into several tasks and joins small ones.
+    """
     month = F.date_format(F.timestamp_millis(time), "yyyy-MM")
-    df = df.withColumn("month", month).repartition(symbol, "month").sortWithinPartitions(symbol, "month", time)
+    df = df.withColumn("month", month).hint("rebalance", symbol, "month").sortWithinPartitions(symbol, "month", time)
     df.write.mode("overwrite").partitionBy(symbol, "month").option("compression", "zstd").parquet(path)
 
 
 def scan(spark: SparkSession, path: str, time: str, start: int | None = None, end: int | None = None, columns: list[str] | None = None, symbols: list[str] | None = None) -> DataFrame:
-    """Rows of [start, end) with partition pruning by symbol and month and a time filter that reaches the files' statistics."""
+    """Rows of [start, end) with partition pruning by symbol and month and a time filter that reaches the files' statistics.
+
+    Files without a month are always read: what has no period can't be left out by it.
+    """
     df = spark.read.parquet(path)
     if symbols is not None:
         df = df.filter(F.col("symbol").isin(*symbols))
@@ -129,7 +135,7 @@ def scan(spark: SparkSession, path: str, time: str, start: int | None = None, en
         df, months = df.filter(F.col(time) >= start), months & (F.col("month") >= _month(start))
     if end is not None:
         df, months = df.filter(F.col(time) < end), months & (F.col("month") <= _month(end - 1))
-    df = df.filter(months)
+    df = df.filter(months | F.col("month").isNull())
     return df.select(*columns) if columns else df
 
 
