@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.functions.stats import corr
+from gridloom.operators.skew import lookup_join
 
 
 def c(x: str | Column) -> Column:
@@ -21,6 +22,37 @@ def mean_rank(x: str | Column, bar: list[str], descending: bool = False) -> Colu
     return F.when(c(x).isNotNull(), F.rank().over(order) + (ties - 1) / 2)
 
 
+SPLITS = 64
+
+
+def counted_ranks(df: DataFrame, x: str, bar: list[str], block_rows: int = 32_768) -> DataFrame:
+    """Add ``{x}_below`` (values of the bar strictly less), ``{x}_ties`` (equal ones, itself too) and ``{x}_n``; NULL for NULL.
+
+    For bars of any size: values are counted first, so that ties combine on
+    the map side; a bar of over ``block_rows`` distinct values is cut at
+    quantiles into up to ``SPLITS`` ranges that are ordered apart; what lies in
+    the ranges before is a sum of counts. No task orders such a bar.
+    The average-tie rank is below + (ties + 1) / 2.
+    """
+    values = df.filter(c(x).isNotNull()).groupBy(*bar, x).agg(F.count(F.lit(1)).alias(f"{x}_ties"))
+    cuts = F.percentile_approx(x, [i / SPLITS for i in range(1, SPLITS)], 1000)
+    bars = values.groupBy(*bar).agg(F.sum(f"{x}_ties").alias(f"{x}_n"), F.when(F.count(F.lit(1)) > block_rows, cuts).alias(f"{x}_cuts"))
+    values = lookup_join(values, bars, bar, [f"{x}_n", f"{x}_cuts"], f"{x}_n")
+    part = F.coalesce(F.size(F.filter(f"{x}_cuts", lambda v: v < c(x))), F.lit(0))
+    values = values.withColumn(f"{x}_part", F.when(F.col(f"{x}_cuts").isNull(), 0).otherwise(part)).drop(f"{x}_cuts")
+    parts = values.groupBy(*bar, f"{x}_part").agg(F.sum(f"{x}_ties").alias(f"{x}_held"))
+    before = W.partitionBy(*bar).orderBy(f"{x}_part").rowsBetween(W.unboundedPreceding, -1)  # at most SPLITS rows a bar
+    parts = parts.select(*bar, f"{x}_part", F.coalesce(F.sum(f"{x}_held").over(before), F.lit(0)).alias(f"{x}_first"))
+    values = values.join(parts, [*bar, f"{x}_part"])
+    inside = W.partitionBy(*bar, f"{x}_part").orderBy(x).rowsBetween(W.unboundedPreceding, -1)
+    below = F.col(f"{x}_first") + F.coalesce(F.sum(f"{x}_ties").over(inside), F.lit(0))
+    return df.join(values.select(*bar, x, below.alias(f"{x}_below"), f"{x}_ties", f"{x}_n"), [*bar, x], "left")
+
+
+def counted_mean_rank(x: str) -> Column:
+    return F.col(f"{x}_below") + (F.col(f"{x}_ties") + 1) / 2
+
+
 def pct_rank(x: str | Column, bar: list[str]) -> Column:
     """Average-tie rank over the number of non-NULL values."""
     return mean_rank(x, bar) / F.count(c(x)).over(W.partitionBy(*bar))
@@ -78,8 +110,8 @@ def tail_spread(df: DataFrame, score: str, y: str, bar: list[str], tie: list[str
 def bar_ic(df: DataFrame, score: str, y: str, bar: list[str], least: int) -> DataFrame:
     """Rank correlation of score and y per bar, over rows with both: bar, ic, n."""
     rows = df.filter(c(score).isNotNull() & c(y).isNotNull())
-    rows = rows.withColumns({"__a": mean_rank(score, bar), "__b": mean_rank(y, bar)})
-    return rows.groupBy(*bar).agg(corr("__a", "__b").alias("ic"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    rows = counted_ranks(counted_ranks(rows.select(*bar, c(score).alias("a"), c(y).alias("b")), "a", bar), "b", bar)
+    return rows.groupBy(*bar).agg(corr(counted_mean_rank("a"), counted_mean_rank("b")).alias("ic"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
 
 
 def shuffle_in_bar(df: DataFrame, x: str, bar: list[str], member: str, seed: int, out: str) -> DataFrame:

@@ -480,7 +480,8 @@ PCT = "select *, (rank() over (partition by t order by score) + (count(*) over (
 
 @query("select t, symbol, round(p, 8) as p from pct", pct=PCT)
 def pct_rank_avg_ties(spark, sf):
-    return book(spark, sf).select("t", "symbol", r(xs.pct_rank("score", BAR), 8).alias("p"))
+    x = xs.counted_ranks(book(spark, sf).select("t", "symbol", "score"), "score", BAR)
+    return x.select("t", "symbol", r(xs.counted_mean_rank("score") / F.col("score_n"), 8).alias("p"))
 
 
 @query("select t, symbol, row_number() over (partition by t order by score, symbol) as n from book")

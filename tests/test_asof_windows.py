@@ -172,3 +172,17 @@ def test_shuffle_permutes_within_bars(spark):
     a, b = (xs.shuffle_in_bar(df, "x", ["t"], "m", s, "z").toPandas() for s in (1, 2))
     assert a.groupby("t").z.apply(sorted).tolist() == a.groupby("t").x.apply(sorted).tolist()
     assert (a.sort_values("m").z.values != b.sort_values("m").z.values).any()
+
+
+@pytest.mark.parametrize("block", [10, 32_768])
+def test_counted_ranks_of_a_hot_bar(spark, block):
+    """A bar that holds half of the rows, with ties and NULLs, cut into ranges; the same as pandas."""
+    rng = np.random.default_rng(6)
+    t = np.where(np.arange(4000) % 2 == 0, 7, rng.integers(0, 6, 4000))
+    x = np.round(rng.normal(size=4000), rng.integers(1, 4, 4000)[0])
+    pdf = pd.DataFrame({"t": t, "x": np.where(rng.random(4000) < 0.05, np.nan, x), "i": np.arange(4000)})
+    df = spark.createDataFrame([(int(a), None if b != b else float(b), int(c)) for a, b, c in pdf.itertuples(index=False)], "t bigint, x double, i int")
+    got = xs.counted_ranks(df, "x", ["t"], block).withColumn("o", xs.counted_mean_rank("x")).toPandas().sort_values("i")
+    np.testing.assert_allclose(got.o.astype(float).values, pdf.groupby("t").x.rank().values)
+    n = pdf.groupby("t").x.transform("count")
+    assert (got.x_n.dropna().astype(int).values == n[pdf.x.notna()].values).all() and len(got) == 4000
