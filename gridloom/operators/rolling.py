@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.operators.skew import ordered_blocks
+from gridloom.operators.skew import ordered_blocks, time_buckets
 
 DAY_MS = 86_400_000
 BLOCK_ROWS = 32_768
@@ -19,18 +19,18 @@ def in_blocks(rows: DataFrame, key: list[str], t: str, halo: int, block_rows: in
     Adds ``__block`` and ``__home``. Window functions by (key, ``__block``)
     that look back at most ``halo`` rows are right for the rows at home; drop
     the others after them (``home``). No task holds a key: the finest piece is
-    a day of one. Rows with a NULL key or time are left out.
+    a day of one, or less where it has more rows than a block. Rows with a NULL key or time are left out.
     """
     ok = F.col(t).isNotNull()
     for k in key:
         ok = ok & F.col(k).isNotNull()
     # That the day is known is said here, so that counts and rows read one exchange: only one side would infer it from the join.
-    days = rows.filter(ok).withColumn("__day", F.floor(F.col(t) / F.lit(DAY_MS)).cast("long")).filter("__day is not null").repartition(*key, "__day")
-    return ordered_blocks(days, key, "__day", block_rows, halo)
+    days = time_buckets(rows.filter(ok), key, t, DAY_MS, block_rows, "__bucket").filter("__bucket is not null").repartition(*key, "__bucket")
+    return ordered_blocks(days, key, "__bucket", block_rows, halo)
 
 
 def home(rows: DataFrame) -> DataFrame:
-    return rows.filter("__home").drop("__home", "__block", "__day")
+    return rows.filter("__home").drop("__home", "__block", "__bucket")
 
 
 def _c(x: str | Column) -> Column:

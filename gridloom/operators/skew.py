@@ -51,11 +51,28 @@ def lookup_join(
     return out.select(*left.columns, *values)
 
 
+def time_buckets(rows: DataFrame, source: list[str], t: str, width: int, block_rows: int, name: str, busy_buckets: int = HOT_KEYS) -> DataFrame:
+    """Add ``name``, the begin of each row's time bucket: ``width`` long, or shorter where a source has many rows in it.
+
+    A bucket of over ``block_rows`` rows is cut into pieces of equal length, about
+    four to a block. The ``busy_buckets`` busiest ones, a list of fixed size
+    whatever the input, are broadcast for that; one beyond them holds less than
+    1/busy_buckets of the rows.
+    """
+    begin = F.floor(F.col(t) / F.lit(width)).cast("long") * width
+    counts = rows.groupBy(*source, begin.alias("__day")).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > block_rows)
+    piece = F.greatest(F.lit(1), F.floor(F.lit(width) / F.ceil(4 * F.col("__n") / F.lit(block_rows)))).cast("long")
+    busy = counts.orderBy(F.col("__n").desc(), *source, "__day").limit(busy_buckets).select(*source, "__day", piece.alias("__piece"))
+    out = rows.withColumn("__day", begin).join(F.broadcast(busy), [*source, "__day"], "left")
+    long = F.coalesce("__piece", F.lit(width).cast("long"))
+    return out.withColumn(name, F.col("__day") + F.floor((F.col(t) - F.col("__day")) / long).cast("long") * long).select(*rows.columns, name)
+
+
 def ordered_blocks(rows: DataFrame, source: list[str], bucket: str, block_rows: int, halo_rows: int, about: DataFrame | None = None) -> DataFrame:
     """Cut each source's time order into blocks of about ``block_rows`` rows, each led by a halo.
 
     ``rows`` must be hash-partitioned by (source, bucket), where ``bucket`` is
-    a coarse time bucket. Returns the rows with ``__block`` and ``__home``: a
+    a time bucket (``time_buckets``). Returns the rows with ``__block`` and ``__home``: a
     row is home in one block and may also come, with ``__home`` false, as part
     of the ``halo_rows`` or more rows before another block. Only counts per
     (source, bucket) are ordered within a source, so no task holds a source.

@@ -120,6 +120,17 @@ def test_no_task_holds_a_hot_symbol(spark):
     assert out.count() == 20_000 and out.filter("d = 3").count() == 19_997
 
 
+def test_a_busy_day_is_cut(spark):
+    """All rows of a symbol within one day, half of them in an hour: pieces stay within bounds, and lags hold across them."""
+    n, day = 40_000, 86_400_000
+    t = F.when(F.col("id") < n // 2, F.col("id") * 180).otherwise((F.col("id") - n // 2) * 4_000 + 3_600_000)
+    df = spark.range(n).select(F.lit("hot").alias("k"), t.cast("bigint").alias("t"), F.col("id").alias("x"))
+    b = rolling.in_blocks(df, K, "t", 3, 1_000)
+    assert b.groupBy("k", "__bucket").count().agg(F.max("count")).first()[0] < 8_000 and b.agg(F.max("t")).first()[0] < day
+    out = rolling.home(b.withColumn("d", F.col("x") - F.lag("x", 3).over(W.partitionBy("k", "__block").orderBy("t"))))
+    assert out.count() == n and out.filter("d = 3").count() == n - 3
+
+
 def test_runs_and_gaps(spark):
     rows = [("a", t, v) for t, v in ((0, 1.0), (1, 2.0), (2, -1.0), (3, -2.0), (4, None), (5, -1.0), (8, 0.0))]
     df = spark.createDataFrame(rows, "k string, t bigint, x double")
