@@ -54,6 +54,7 @@ def as_known_at(events: DataFrame, entity: str, at: str, versions: DataFrame, v_
         ve = ve.filter(F.col(f"v.o{i}").isNotNull())
     until = ev.groupBy("k").agg(F.max("b").alias("last"))
     pieces = validity_pieces(ve, until, bucket_ms)
+    ev = ev.repartition("k", "b").dropDuplicates(["k", "b", "t"])  # partitioned as the join needs it; an event meets one interval
     hit = ev.join(pieces.hint("merge"), ["k", "b"]).filter((F.col("from") <= F.col("t")) & (F.col("t") < F.col("to")))
     out = hit.select(F.col("k").alias(entity), F.col("t").alias(at), *[F.col(f"v.o{i}").alias(f"version_{c}") for i, c in enumerate(v_order)], *[F.col(f"v.x{i}").alias(f"version_{c}") for i, c in enumerate(v_values)])
-    return out.dropDuplicates([entity, at])
+    return out
