@@ -124,3 +124,17 @@ def rolling_pair_beta(df: DataFrame, key: list[str], t: str, y: str, x: str, n:
     """Slope of y on x over the rows of the last n with both values; NULL below m of them or without variance of x."""
     df, s, temps = paired_sums(df, key, t, x, y, n)
     return df.withColumn(out, F.when(s["n"] >= m, s["sxy"] / s["sxx"])).drop(*temps)
+
+
+def rolling_regression(df: DataFrame, key: list[str], t: str, y: str, x: str, n: int, m: int) -> DataFrame:
+    """Single-factor regression moments over the rows of the last n with both values: adds n_obs, beta, var_y, resid_var, se2."""
+    df, s, temps = paired_sums(df, key, t, x, y, n)
+    ok, k = s["n"] >= m, s["n"]
+    sxx, syy, sxy = s["sxx"], F.coalesce(s["syy"], F.lit(0.0)), s["sxy"]
+    beta = sxy / sxx
+    rss = syy - sxy * beta
+    left = F.nullif(k - 2, F.lit(0.0))
+    return df.withColumns({
+        "n_obs": k.cast("bigint"), "beta": F.when(ok, beta), "var_y": F.when(ok, syy / F.nullif(k - 1, F.lit(0.0))),
+        "resid_var": F.when(ok, rss / left), "se2": F.when(ok, rss / left / sxx),
+    }).drop(*temps)

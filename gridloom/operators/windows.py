@@ -108,22 +108,6 @@ def rolling_corr(x: str | Column, y: str | Column, w: WindowSpec, m: int) -> Col
     return F.when(F.count(a).over(w) >= m, F.try_divide(F.covar_pop(a, b).over(w), F.nullif(sd, F.lit(0.0))))
 
 
-def rolling_ols(y: str, x: str, w: WindowSpec, m: int) -> dict[str, Column]:
-    """Single-factor regression moments over rows with both values: n, beta, var_y, resid_var, se2."""
-    n = F.regr_count(c(y), c(x)).over(w)
-    sxx, syy, sxy = (f(c(y), c(x)).over(w) for f in (F.regr_sxx, F.regr_syy, F.regr_sxy))
-    beta = F.try_divide(sxy, F.nullif(sxx, F.lit(0.0)))
-    rss = syy - 2 * beta * sxy + beta * beta * sxx
-    ok = n >= m
-    return {
-        "n": n,
-        "beta": F.when(ok, beta),
-        "var_y": F.when(ok, F.try_divide(syy, n - 1)),
-        "resid_var": F.when(ok, F.try_divide(rss, n - 2)),
-        "se2": F.when(ok, F.try_divide(F.try_divide(rss, n - 2), F.nullif(sxx, F.lit(0.0)))),
-    }
-
-
 def shrink_to_bar(x: str | Column, bar: list[str], lam: float) -> Column:
     return lam * c(x) + (1 - lam) * F.avg(c(x)).over(W.partitionBy(*bar))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gridloom.operators import windows as wn
 from gridloom.operators import xsec as xs
 from gridloom.operators.grid import range_window
+from gridloom.operators.rolling import rolling_regression
 
 DAY_MS = 86_400_000
 
@@ -34,8 +35,8 @@ def weighted_index(returns: DataFrame, weights: DataFrame, step: int, least: int
 def beta_idiovol(returns: DataFrame, index: DataFrame, n: int, least: int, lam: float = 1.0) -> DataFrame:
     """symbol, t, beta_raw, beta, sigma_eps, sigma_total, ratio, n_obs from rolling regression on the index."""
     x = returns.join(index.select("t", "r_m"), "t", "left")
-    o = wn.rolling_ols("r", "r_m", wn.rows(["symbol"], "t", n), least)
-    x = x.select("symbol", "t", o["beta"].alias("beta_raw"), F.sqrt(F.greatest(o["resid_var"], F.lit(0.0))).alias("sigma_eps"), F.sqrt(o["var_y"]).alias("sigma_total"), o["n"].alias("n_obs")).filter("beta_raw is not null")
+    x = rolling_regression(x.select("symbol", "t", "r", "r_m"), ["symbol"], "t", "r", "r_m", n, least)
+    x = x.select("symbol", "t", F.col("beta").alias("beta_raw"), F.sqrt(F.greatest("resid_var", F.lit(0.0))).alias("sigma_eps"), F.sqrt("var_y").alias("sigma_total"), "n_obs").filter("beta_raw is not null")
     return x.withColumns({"beta": wn.shrink_to_bar("beta_raw", ["t"], lam), "ratio": F.try_divide(F.col("sigma_eps"), F.nullif(F.col("sigma_total"), F.lit(0.0)))})
 
 

@@ -13,7 +13,7 @@ from gridloom.operators import xsec as xs
 from gridloom.functions.stats import corr
 from gridloom.operators.asof import asof_join
 from gridloom.operators.grid import bucket_sums, census_of_gaps, contiguous_runs, densify, range_blocks, range_window
-from gridloom.operators.rolling import home, in_blocks
+from gridloom.operators.rolling import home, in_blocks, rolling_regression
 from gridloom.plans.base import STEP, bars, betas, book, index, labels, panel, read, sql, tape, usable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -354,8 +354,8 @@ def rolling_autocorr(spark, sf):
 @query("select symbol, t, n, case when n >= 10 then round(sxy / nullif(sxx, 0), 5) end as beta, case when n >= 10 then round(syy / (n - 1), 8) end as var_y, case when n >= 10 then round((syy - sxy * sxy / nullif(sxx, 0)) / (n - 2), 8) end as resid_var from (select symbol, t, cast(regr_count(r, r_m) over w as bigint) as n, regr_sxx(r, r_m) over w as sxx, regr_syy(r, r_m) over w as syy, regr_sxy(r, r_m) over w as sxy from pair window w as (partition by symbol order by t rows between 29 preceding and current row))", rets=RET, pair=PAIR)
 def rolling_ols(spark, sf):
     x = bar_returns(spark, sf).join(index(spark, sf), "t", "left")
-    o = wn.rolling_ols("r", "r_m", wn.rows(KEY, "t", 30), 10)
-    return x.select("symbol", "t", o["n"].alias("n"), r(o["beta"], 5).alias("beta"), r(o["var_y"], 8).alias("var_y"), r(o["resid_var"], 8).alias("resid_var"))
+    o = rolling_regression(x.select("symbol", "t", "r", "r_m"), KEY, "t", "r", "r_m", 30, 10)
+    return o.select("symbol", "t", F.col("n_obs").alias("n"), r("beta", 5).alias("beta"), r("var_y", 8).alias("var_y"), r("resid_var", 8).alias("resid_var"))
 
 
 @query("select symbol, t, round(0.7 * beta + 0.3 * avg(beta) over (partition by t), 10) as shrunk from betas")

@@ -147,8 +147,7 @@ def test_gap_return_and_ols(panel, spark):
     got = [r.o for r in df.withColumn("o", wn.gap_return("p", "t", K, 1)).orderBy("t").collect()]
     assert got == [None, 0.5, None, -1.0, None]
     pdf, frame = panel
-    o = wn.rolling_ols("x", "y", wn.rows(K, "t", 20), 10)
-    got = frame.select("k", "t", o["beta"].alias("beta"), o["resid_var"].alias("rv"), o["n"].alias("n")).filter("k = 'a' and t = 40").first()
+    got = rolling.rolling_regression(frame, K, "t", "x", "y", 20, 10).selectExpr("k", "t", "beta", "resid_var as rv", "n_obs as n").filter("k = 'a' and t = 40").first()
     g = pdf[(pdf.k == "a") & (pdf.t > 20) & (pdf.t <= 40)].dropna()
     beta, a = np.polyfit(g.y, g.x, 1)
     assert got.n == len(g) and abs(got.beta - beta) < 1e-9
