@@ -26,6 +26,7 @@ class ChartSpec:
     anchor: the moving scale stays within this factor of the source's robust
         scale and the moving level within one robust scale of its median, so
         ``suspect * anchor + 1 < limit`` suspects whatever the limit can flag.
+        None lets the chart follow a source that drifts, without that promise.
     limit: normal spreads off the normal level beyond which a reading is a spike.
     run, run_tol: members of a run of equal readings that make it frozen, and
         the relative tolerance of equality.
@@ -36,7 +37,7 @@ class ChartSpec:
     weight: float = 0.05
     clip: float = 3.0
     suspect: float = 5.5
-    anchor: float = 1.4
+    anchor: float | None = 1.4
     limit: float = 10.0
     run: int = 6
     run_tol: float = 1e-9
@@ -54,8 +55,9 @@ def _gain(clip: float) -> float:
 def _chart(x: list[float], home: list[bool], m0: float, s0: float, p: ChartSpec) -> tuple[list[int], int, float, float]:
     """Run one block in time order: indices of suspected home readings, and n, sum and sum of squares (about m0) of the rest."""
     lam, c, k, gain = p.weight, p.clip, p.suspect, _gain(p.clip)
-    lo_v, hi_v = (s0 / p.anchor) ** 2, (s0 * p.anchor) ** 2
-    lo_m, hi_m = m0 - s0, m0 + s0
+    lo_v, hi_v, lo_m, hi_m = 0.0, math.inf, -math.inf, math.inf
+    if p.anchor is not None:
+        lo_v, hi_v, lo_m, hi_m = (s0 / p.anchor) ** 2, (s0 * p.anchor) ** 2, m0 - s0, m0 + s0
     m, v, s = m0, s0 * s0, s0
     bad: list[int] = []
     n, a, b = 0, 0.0, 0.0

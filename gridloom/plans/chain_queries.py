@@ -12,7 +12,7 @@ from gridloom.functions.stats import corr, probabilistic_sharpe
 from gridloom.operators import windows as wn
 from gridloom.operators.containers import instant_ms, latest_record, period_parts
 from gridloom.plans import gates, market, selection, splits
-from gridloom.plans.base import STEP, bars, betas, book, clean, index, labels, panel, read, sql
+from gridloom.plans.base import PLAUSIBLE, STEP, bars, betas, book, clean, index, labels, panel, read, sql
 from gridloom.plans.features import KINDS, Context, Family
 from gridloom.plans.panel_queries import RET, bar_returns, r
 from gridloom.sources import store
@@ -43,10 +43,11 @@ def split_assign(spark, sf):
     return panel(spark, sf).select("symbol", "t", SCHEME.assign(F.col("t")).alias("split"))
 
 
-@query(f"select symbol, t, 'train' as split from panel where t < {FEB} - 432000000 union all select symbol, t, 'holdout2' from panel where t >= {MAR} and t < (select max(t) from panel) - 432000000")
+@query(f"select symbol, t, 'train' as split from panel where t < {FEB} - 432000000 union all select symbol, t, 'holdout1' from panel where t >= {FEB} and t < {MAR} - 432000000 union all select symbol, t, 'holdout2' from panel where t >= {MAR} and t < (select max(t) from panel) - 432000000")
 def split_purge(spark, sf):
     p = panel(spark, sf).select("symbol", "t")
-    return SCHEME.take(p, "train", "t").withColumn("split", F.lit("train")).unionByName(SCHEME.take(p, "holdout2", "t").withColumn("split", F.lit("holdout2")))
+    train, first, second = (SCHEME.take(p, name, "t").withColumn("split", F.lit(name)) for name in ("train", "holdout1", "holdout2"))
+    return train.unionByName(first).unionByName(second)
 
 
 _BARS = "select t, row_number() over (order by t) - 1 as n from (select distinct t from panel)"
@@ -345,7 +346,7 @@ def feature_context(spark: SparkSession, sf: str) -> Context:
         "symbol", (F.col("t") + 17_000).alias("t"), "open", "high", "low", F.col("open").alias("close"), "volume", (F.col("volume") * F.col("open")).alias("quote_volume"), (2 * F.col("trade_count") + 1).alias("trade_count"), (0.5 * F.col("taker_buy_quote_volume")).alias("taker_buy_quote_volume")
     )
     move = F.try_divide(F.col("close"), F.col("open")) - 1
-    hours = read(spark, sf, "returns_1h").filter((F.abs("ret") < 0.5) & F.col("symbol").isNotNull()).groupBy("symbol", "t").agg(F.max("ret").alias("r"), F.max(clean("r_m")).alias("r_m"))
+    hours = read(spark, sf, "returns_1h").filter((F.abs("ret") < PLAUSIBLE["ret"]) & F.col("symbol").isNotNull()).groupBy("symbol", "t").agg(F.max("ret").alias("r"), F.max(clean("r_m")).alias("r_m"))
     p = panel(spark, sf)
     sectors = p.select("symbol").distinct().withColumn("g", F.floor((F.row_number().over(W.orderBy("symbol")) - 1) / F.lit(SECTOR)))
     quotes = t.filter(F.col("symbol") == LEADS[0]).crossJoin(F.broadcast(spark.createDataFrame(CONTRACTS, "contract string, expiry bigint")))  # three rows to each
@@ -365,7 +366,7 @@ _FTAPE = "select symbol, t, " + ", ".join(f"max(case when not isnan({c}) and not
 _SPOT = "select symbol, t + 17000 as t, open as close, volume * open as quote_volume, 0.5 * tb as tb, 2 * trade_count + 1 as trade_count from ftape where tb < 0.6 * quote_volume and open is not null"
 _PREM = "select symbol, t, m as close, greatest(m, 0) as high, least(m, 0) as low from (select symbol, t, close / nullif(open, 0) - 1 as m from ftape)"
 _TRET = "select *, lag(ret) over (partition by symbol order by t) as ret1, " + _BAR + " as bar from (select *, close / nullif(lag(close) over (partition by symbol order by t), 0) - 1 as ret from ftape)"
-_HOURS = "select symbol, t, max(ret) as r, max(case when not isnan(r_m) and not isinf(r_m) then r_m end) as r_m from returns_1h where abs(ret) < 0.5 and symbol is not null group by symbol, t"
+_HOURS = "select symbol, t, max(ret) as r, max(case when not isnan(r_m) and not isinf(r_m) then r_m end) as r_m from returns_1h where abs(ret) < " + str(PLAUSIBLE["ret"]) + " and symbol is not null group by symbol, t"
 _FIRST = "row_number() over (partition by symbol order by t)"
 
 

@@ -54,6 +54,16 @@ class SplitScheme:
         """First instant that training may not see."""
         return self.splits[0].end
 
+    def with_wall(self, wall: int) -> SplitScheme:
+        """The scheme with another end of training, say for an experiment on less data; the calendar of this one is unchanged.
+
+        The wall may only move back: what lay beyond it stays beyond it.
+        """
+        first = self.splits[0]
+        if first.end is None or not first.start < wall <= first.end:
+            raise LeakError(f"a wall at {wall} isn't within {first.name}")
+        return SplitScheme((Split(first.name, first.start, wall), *self.splits[1:]), self.sealed)
+
     def assign(self, t: Column) -> Column:
         """Name of the split of each instant, without purge; NULL outside all."""
         out = F.lit(None).cast("string")

@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.functions.stats import corr, corr_t
+from gridloom.functions.parse import declared_signs
+from gridloom.functions.stats import corr, corr_t, expected_max_sharpe, min_track_record, probabilistic_sharpe
 from gridloom.operators import windows as wn
 from gridloom.operators import xsec as xs
 from gridloom.operators.asof import asof_join
 from gridloom.operators.containers import container_index, period_parts
 from gridloom.operators.rolling import paired_sums, rolled
 from gridloom.plans import gates, market, selection
-from gridloom.plans.base import STEP, bars, betas, book, index, labels, panel, read, sql, tape, usable
+from gridloom.plans.base import PLAUSIBLE, STEP, bars, betas, book, index, labels, panel, read, sql, tape, usable
 from gridloom.plans.chain_queries import _FWD, _LEGS, _W, FEB, LEADS, MAR, SCHEME, weights
 from gridloom.plans.panel_queries import RET, bar_returns, r
 from gridloom.plans.problems import _P4
@@ -248,13 +249,13 @@ def target_24h(spark, sf):
 # ---- studies of beta and target ---------------------------------------------------------------------------------------------
 
 _FREQ = "select h, symbol, t, sum(r) as r, avg(r_m) * count(*) as r_m from (select h, symbol, t // (h * 3600000) as t, r, r_m from hours, (values (1), (2), (4), (8), (24)) f(h) where r is not null and r_m is not null) group by all having count(*) > 0"
-_HOURS = "select symbol, t // 3600000 * 3600000 as t, sum(r) as r, max(r_m) as r_m from (select distinct symbol, t, ret as r, case when not isnan(r_m) and not isinf(r_m) then r_m end as r_m from returns_1h where abs(ret) < 0.5 and symbol is not null) group by all"
+_HOURS = "select symbol, t // 3600000 * 3600000 as t, sum(r) as r, max(r_m) as r_m from (select distinct symbol, t, ret as r, case when not isnan(r_m) and not isinf(r_m) then r_m end as r_m from returns_1h where abs(ret) < " + str(PLAUSIBLE["ret"]) + " and symbol is not null) group by all"
 
 
 @query("select h, count(*) as symbols, round(avg(b), 5) as beta from (select h, symbol, regr_slope(r, r_m) as b, count(*) as n from freq group by h, symbol) where n >= 20 and b is not null and not isnan(b) group by h", hours=_HOURS, freq=_FREQ)
 def beta_frequency(spark, sf):
     """Mean beta of the symbols by the length of the bars that returns are summed over."""
-    h = read(spark, sf, "returns_1h").filter((F.abs("ret") < 0.5) & F.col("symbol").isNotNull()).select("symbol", "t", F.col("ret").alias("r"), F.when(~F.isnan("r_m") & (F.abs("r_m") < float("inf")), F.col("r_m")).alias("r_m")).distinct()
+    h = read(spark, sf, "returns_1h").filter((F.abs("ret") < PLAUSIBLE["ret"]) & F.col("symbol").isNotNull()).select("symbol", "t", F.col("ret").alias("r"), F.when(~F.isnan("r_m") & (F.abs("r_m") < float("inf")), F.col("r_m")).alias("r_m")).distinct()
     h = h.groupBy("symbol", F.floor(F.col("t") / F.lit(HOUR)).alias("t")).agg(F.sum("r").alias("r"), F.max("r_m").alias("r_m")).filter("r_m is not null")
     h = h.withColumn("h", F.explode(F.array(*[F.lit(v) for v in (1, 2, 4, 8, 24)])))
     f = h.groupBy("h", "symbol", F.floor(F.col("t") / F.col("h")).alias("t")).agg(F.sum("r").alias("r"), F.sum("r_m").alias("r_m"))
@@ -345,13 +346,18 @@ def stability_selection(spark, sf):
     return g.groupBy("feature").agg(F.count(F.lit(1)).alias("folds"), F.count(F.when(F.abs("ic") >= 0.01, 1)).alias("strong"), F.count(F.when(F.signum("ic") == F.signum("whole"), 1)).alias("agreeing"))
 
 
-PRIORS = {"beta": -1, "sigma": -1}
+PRIORS = """
+| feature | sign | why |
+|---------|------|-----|
+| `beta`  | -    | what moves most with the market is paid least |
+| `sigma` | -    | and so is what moves most alone |
+"""
 
 
 @query("select feature, prior, bars, agreeing, round((agreeing - bars / 2.0) / sqrt(bars / 4.0), 4) as z from (select i.feature, p.prior, count(*) as bars, count(case when sign(ic) = prior then 1 end) as agreeing from ics i join (values ('beta', -1), ('sigma', -1)) p(feature, prior) using (feature) where not isnan(ic) group by all)", ranks=_RANKS, ics=_ICS)
 def sign_check(spark, sf):
     """How often a feature's sign in a bar is the declared one, and how far from a coin's."""
-    p = spark.createDataFrame(list(PRIORS.items()), "feature string, prior int")
+    p = spark.createDataFrame(list(declared_signs(PRIORS).items()), "feature string, prior int")
     g = bar_ics(spark, sf).join(F.broadcast(p), "feature").groupBy("feature", "prior").agg(F.count(F.lit(1)).alias("bars"), F.count(F.when(F.signum("ic") == F.col("prior"), 1)).alias("agreeing"))
     return g.withColumn("z", r((F.col("agreeing") - F.col("bars") / 2) / F.sqrt(F.col("bars") / 4), 4))
 
@@ -369,6 +375,26 @@ def sharpe_moments(spark, sf):
     return s.agg(F.count("ret").alias("bars"), r(F.avg("ret"), 9).alias("mean"), r(F.stddev_samp("ret"), 8).alias("sd"), r(F.skewness("ret"), 5).alias("skew"), r(F.kurtosis("ret") + 3, 5).alias("kurt"))
 
 
+@query()
+def sharpe_statistics(spark, sf):
+    """Probabilistic and deflated Sharpe ratio and the least track record of the book, from one row of moments."""
+    s = market.book_returns(market.book_weights(book(spark, sf)), market.BookConfig(hedge_warm=1_000_000))
+    n, m, sd, sk, ku = s.agg(F.count("ret"), F.avg("ret"), F.stddev_samp("ret"), F.skewness("ret"), F.kurtosis("ret") + 3).first()
+    sr = m / sd if n and sd else float("nan")
+    best = expected_max_sharpe(1 / n, 43) if n else float("nan")
+    row = (n, probabilistic_sharpe(sr, 0.0, n, sk, ku), probabilistic_sharpe(sr, best, n, sk, ku), min_track_record(sr, 0.0, sk, ku)) if n and sd else (n, None, None, None)
+    return spark.createDataFrame([row], "bars bigint, psr double, dsr double, least_bars double")
+
+
+@query()
+def feature_clusters(spark, sf):
+    """Leaders of columns by pairwise rank correlation, in a fixed order of priority, and whom they absorb."""
+    names = ["y", "fwd_ret", "beta", "sigma"]
+    pairs = selection.pair_correlations(labels(spark, sf), names, T)
+    got = selection.leader_clusters([(p.a, p.b, p.rho or 0.0) for p in pairs.collect()], names, 0.9)
+    return spark.createDataFrame([(lead, ",".join(rest)) for lead, rest in got.items()], "leader string, absorbed string")
+
+
 @query()
 def permutation_importance(spark, sf):
     """How much of a ridge's rank correlation a shuffled feature costs, over the bars. Shuffles draw by a seeded hash."""
