@@ -60,10 +60,20 @@ def container_index(log: DataFrame, target: int = 1_000_000, max_files: int = 65
     ranks before all others. NULL dataset, symbol, checksum or an unreadable
     period match nothing. NULL or non-positive rows are not usable.
     """
+    files = file_roles(log)
+    out = files.filter("role <> 'packed'").select("*", F.lit(None).cast("string").alias("container"), F.lit(None).cast("bigint").alias("offset"))
+    return out.unionByName(assign_offsets(files.filter("role = 'packed'"), target, max_files))
+
+
+def file_roles(log: DataFrame) -> DataFrame:
+    """The part of ``container_index`` that tells which files are packed: all its columns but container and offset."""
+    # A checksum is half as long as bytes; text that is no hexadecimal number stands for itself.
+    plain = F.lower(F.trim("sha256"))
+    log = log.withColumn("sha256", F.coalesce(F.expr("try_to_binary(lower(trim(sha256)), 'hex')"), plain.cast("binary")))
     fields = ["dataset", "symbol", "period", "status", "sha256", "rows"]
     month, day = period_parts(F.col("period"))
     files = latest_record(log, "key", instant_ms(F.col("updated_at")), fields).filter("status = 'converted' and rows > 0")
-    files = files.select("key", "dataset", "symbol", "rows", F.lower(F.trim("sha256")).alias("checksum"), month.alias("month"), (day != "").alias("daily"))
+    files = files.select("key", "dataset", "symbol", "rows", F.col("sha256").alias("checksum"), month.alias("month"), (day != "").alias("daily"))
 
     # One row per month that has a monthly file: at most a row per (dataset, symbol, month), weighed by nothing but its own size.
     months = files.filter("not daily and month is not null").groupBy("dataset", "symbol", "month").agg(F.lit(True).alias("whole"), F.count(F.lit(1)).alias("w"))
@@ -71,8 +81,8 @@ def container_index(log: DataFrame, target: int = 1_000_000, max_files: int = 65
     firsts = files.filter("checksum is not null").groupBy("checksum").agg(F.min("key").alias("of"), F.count(F.lit(1)).alias("w")).filter("w > 1")
     files = lookup_join(files, firsts, ["checksum"], ["of"], "w")
     role = F.when(F.col("daily") & F.col("whole"), "contained").when(F.col("key") > F.col("of"), "copy").otherwise("packed")
-    files = files.select("key", "dataset", "symbol", F.col("rows").alias("length"), "checksum", "of", role.alias("role"))
-    return files.filter("role <> 'packed'").select("*", F.lit(None).cast("string").alias("container"), F.lit(None).cast("bigint").alias("offset")).unionByName(assign_offsets(files.filter("role = 'packed'"), target, max_files))
+    text = F.when(F.length("checksum") == 32, F.lower(F.hex("checksum"))).otherwise(F.col("checksum").cast("string"))
+    return files.select("key", "dataset", "symbol", F.col("rows").alias("length"), text.alias("checksum"), "of", role.alias("role"))
 
 
 def assign_offsets(files: DataFrame, target: int, max_files: int) -> DataFrame:

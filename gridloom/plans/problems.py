@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.operators.containers import container_index
+from gridloom.operators.containers import container_index, file_roles
 from gridloom.operators.control_chart import ChartSpec, chart_readings, physical_limits
 from gridloom.operators.doubling import trailing_totals
 from gridloom.operators.seasonal import regular_grid
@@ -46,7 +46,7 @@ def p4_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p4_index(spark, sf_dir).filter("role <> 'packed'").select("key")
+    return file_roles(_read(spark, sf_dir, "files")).filter("role <> 'packed'").select("key")
 
 
 def p5_grid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from gridloom.functions.stats import corr, corr_t, expected_max_sharpe, min_trac
 from gridloom.operators import windows as wn
 from gridloom.operators import xsec as xs
 from gridloom.operators.asof import asof_join
-from gridloom.operators.containers import container_index, period_parts
+from gridloom.operators.containers import container_index, file_roles, period_parts
 from gridloom.operators.rolling import paired_sums, rolled
 from gridloom.plans import gates, market, selection
 from gridloom.plans.base import PLAUSIBLE, STEP, bars, betas, book, index, labels, panel, read, sql, tape, usable
@@ -49,7 +49,7 @@ def _p4(tail: str) -> str:
 @query()
 def p4_roles(spark, sf):
     """Why each usable file is packed or stays out."""
-    return container_index(read(spark, sf, "files")).select("key", "length", "role")
+    return file_roles(read(spark, sf, "files")).select("key", "length", "role")
 
 
 ORACLE["p4_roles"] = _p4("select key, n as length, case when daily and whole then 'contained' when sha is not null and first_key < key then 'copy' else 'packed' end as role from f")
