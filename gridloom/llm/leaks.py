@@ -394,28 +394,17 @@ def _kept_words(items: list[tuple[np.ndarray, np.ndarray]], x: Stream, regions:
     """
     m, n = len(items), max(len(c) for c, _ in items)
     w = max(r.high - r.low for r in regions) + 3
-    letters = np.full((n, m), GONE, np.uint32)
-    for k, (c, _) in enumerate(items):
-        letters[: len(c), k] = c
-    begin = np.array([x.start[r.doc] for r in regions])
-    size = np.array([x.start[r.doc + 1] - x.start[r.doc] for r in regions])
-    low = np.array([r.low - r.first - 1 for r in regions])
-    own = np.array([r.high - r.low + 3 for r in regions])
-    kind = np.int16 if n < 30_000 else np.int32  # a score is at most n, a ramp at most w
-    kind = kind if w < 30_000 else np.int32
+    kind = np.int16 if n < 30_000 and w < 30_000 else np.int32  # a score is at most n, a ramp at most w
     ramp = np.arange(w, dtype=kind)
-    # A letter before each text and after it that matches nothing, so that a place needs only be clipped.
-    lead = np.cumsum(size + 2) - size - 2
-    text = np.full(int(lead[-1] + size[-1] + 2), GONE - 1, np.uint32)
-    for k in range(m):
-        text[lead[k] + 1 : lead[k] + 1 + size[k]] = x.codes[begin[k] : begin[k] + size[k]]
-    at = np.int64 if len(text) + n + w > 2**31 - 1 else np.int32
-    pos = np.arange(n, dtype=at)[:, None, None] - (low.astype(at)[:, None] + np.arange(w, dtype=at))[None]
-    np.clip(pos, at(-1), size.astype(at)[None, :, None], out=pos)
-    pos += (lead.astype(at) + at(1))[None, :, None]
-    same = text[pos] == letters[:, :, None]
-    if (own < w).any():
-        same &= (np.arange(w) < own[:, None])[None]  # beyond a narrower band nothing matches
+    same = np.zeros((n, m, w), bool)  # beyond the text, and beyond a narrower band, nothing matches
+    for k, ((c, _), r) in enumerate(zip(items, regions)):
+        q, own, first = len(c), r.high - r.low + 3, r.first - r.high - 1
+        text = x.codes[x.start[r.doc] : x.start[r.doc + 1]]
+        seen = np.full(q + own - 1, GONE - 1, np.uint32)  # the text letters that the band can meet, from number ``first`` on
+        lo, hi = max(first, 0), min(first + len(seen), len(text))
+        if lo < hi:
+            seen[lo - first : hi - first] = text[lo:hi]
+        same[:q, k, :own] = np.lib.stride_tricks.sliding_window_view(seen, own)[:, ::-1] == c[:, None]
     step = same.astype(np.int8)
     step *= 2
     step -= 1
