@@ -1,6 +1,7 @@
 """Fetching with retries, tables kept by their parameters, scans of files without a period, and the command line."""
 
 import hashlib
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -27,14 +28,14 @@ def test_failures_are_tried_again_with_longer_waits(tmp_path):
 
 
 def test_a_table_is_kept_by_its_parameters(spark, tmp_path):
-    made = []
+    made, name = [], f"legs-{uuid.uuid4().hex}"  # the session's shared folder may outlive the test
 
     def build(v):
         made.append(v)
         return spark.range(v)
 
     for lag in (3, 3, 4, 3):
-        assert cached(spark, "legs", {"lag": lag}, lambda: build(lag), str(tmp_path)).count() == lag
+        assert cached(spark, name, {"lag": lag}, lambda: build(lag), str(tmp_path)).count() == lag
     assert made == [3, 4]
 
 
