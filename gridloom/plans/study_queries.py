@@ -500,6 +500,147 @@ def top_overlap_turnover(spark, sf):
     return past.join(b.withColumn("kept", F.lit(1)), ["t", "symbol"], "left").groupBy("t").agg(r(1 - F.count("kept") / 4).alias("turnover"))
 
 
+# ---- structure, direction and stability -------------------------------------------------------------------------------------------
+
+
+def _returns_matrix(spark, sf, members: int = 20):
+    """Bars by the symbols with the most of them, and the index: a calendar by ``members`` columns, NaN where a symbol has no return."""
+    import numpy as np
+
+    ret = bar_returns(spark, sf).filter("r is not null").select("symbol", "t", "r")
+    top = ret.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "symbol").limit(members).select("symbol")
+    long = ret.join(F.broadcast(top), "symbol").join(index(spark, sf), "t").toArrow()
+    bars_, row = np.unique(long["t"].to_numpy(), return_inverse=True)
+    names, col = np.unique(long["symbol"].to_pylist(), return_inverse=True)
+    x, m = np.full((len(bars_), len(names)), np.nan), np.full(len(bars_), np.nan)
+    x[row, col], m[row] = long["r"].to_numpy(), long["r_m"].to_numpy()
+    return x, m
+
+
+def _pairwise(x):
+    """Correlations of columns over the rows that both have; 0 where they share fewer than three."""
+    import numpy as np
+
+    has = ~np.isnan(x)
+    v, h = np.where(has, x, 0.0), has.astype(float)
+    n = h.T @ h
+    with np.errstate(invalid="ignore", divide="ignore"):
+        mean, other = (v.T @ h) / n, (h.T @ v) / n
+        sq = (v * v).T @ h
+        cov = (v.T @ v) / n - mean * other
+        var = np.sqrt(np.maximum(sq / n - mean * mean, 0) * np.maximum(sq.T / n - other * other, 0))
+        c = np.where((n > 2) & (var > 0), cov / var, 0.0)
+    np.fill_diagonal(c, 1.0)
+    return c
+
+
+@query()
+def factor_structure(spark, sf):
+    """Shares of the first two principal components of twenty symbols' returns, the second one's 95 % interval from resampled bars, and how the first one goes with the index."""
+    import numpy as np
+
+    x, market_ret = _returns_matrix(spark, sf)
+    kinds = "bars bigint, pc1 double, pc2 double, pc2_low double, pc2_high double, corr_index double"
+    if len(x) < 30 or x.shape[1] < 2:
+        return spark.createDataFrame([(len(x), None, None, None, None, None)], kinds)
+    shares = selection.eigen_shares(_pairwise(x))
+    rng = np.random.default_rng(5)
+    draws = [selection.eigen_shares(_pairwise(x[rng.integers(0, len(x), len(x))]))[1] for _ in range(200)]
+    z = np.nan_to_num((x - np.nanmean(x, axis=0)) / np.nanstd(x, axis=0))
+    first = np.linalg.eigh(_pairwise(x))[1][:, -1]
+    rho = abs(float(np.corrcoef(z @ first, market_ret)[0, 1]))
+    row = (len(x), *(round(float(v), 6) for v in (shares[0], shares[1], np.quantile(draws, 0.025), np.quantile(draws, 0.975), rho)))
+    return spark.createDataFrame([row], kinds)
+
+
+@query()
+def ic_interval(spark, sf):
+    """Mean rank correlation of each feature and its 95 % interval from moving blocks of bars, whose order the blocks keep."""
+    import numpy as np
+
+    rows = []
+    for f in FEATS:
+        v = np.array([v.ic for v in bar_ics(spark, sf).filter(F.col("feature") == f).orderBy("t").select("ic").collect()], float)
+        low, high = selection.block_bootstrap(v, 21, 500, 3) if len(v) else (None, None)
+        rows.append((f, len(v), round(float(v.mean()), 6) if len(v) else None, round(low, 6) if len(v) else None, round(high, 6) if len(v) else None))
+    return spark.createDataFrame(rows, "feature string, bars bigint, ic double, low double, high double")
+
+
+@query()
+def ridge_grid(spark, sf):
+    """A ridge's mean rank correlation by its penalty, on the bars it is fitted on and on the later ones."""
+    x = selection.centred_ranks(labels(spark, sf).filter("beta is not null and sigma is not null"), FEATS, T)
+    cols, out = [f"r_{f}" for f in FEATS], None
+    for alpha in (1.0, 10.0, 100.0, 1000.0):
+        beta = selection.ridge_fit(x.filter(F.col("t") < FEB), cols, "y", alpha)
+        ic = xs.bar_ic(selection.ridge_score(x, cols, beta), "score", "y", T, 8)
+        ic = ic.agg(F.lit(alpha).alias("alpha"), r(F.avg(F.when(F.col("t") < FEB, F.col("ic")))).alias("fitted"), r(F.avg(F.when(F.col("t") >= FEB, F.col("ic")))).alias("later"))
+        out = ic if out is None else out.unionByName(ic)
+    return out
+
+
+@query()
+def seed_stability(spark, sf):
+    """Boosted trees by seed, with rows drawn at random: mean rank correlation on later bars for each, and again for the first one."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    x = selection.centred_ranks(labels(spark, sf).filter("beta is not null and sigma is not null and y is not null"), FEATS, T)
+    x = VectorAssembler(inputCols=[f"r_{f}" for f in FEATS], outputCol="v").transform(x)
+    train, out = x.filter(F.col("t") < FEB).repartition(4, "symbol").sortWithinPartitions("symbol", "t"), None
+    for run, seed in enumerate((1, 2, 1)):
+        model = GBTRegressor(featuresCol="v", labelCol="y", predictionCol="score", maxIter=4, maxDepth=3, subsamplingRate=0.7, seed=seed).fit(train)
+        ic = xs.bar_ic(model.transform(x.filter(F.col("t") >= FEB)), "score", "y", T, 8).agg(F.lit(run).alias("run"), F.lit(seed).alias("seed"), r(F.avg("ic")).alias("ic"))
+        out = ic if out is None else out.unionByName(ic)
+    return out
+
+
+_GRIDPX = "select g.symbol, g.t, p.px from (select symbol, unnest(generate_series(min(t), max(t), 28800000)) as t from panel group by symbol) g left join panel p using (symbol, t)"
+
+
+def _dense_px(spark, sf):
+    from gridloom.operators.grid import densify
+
+    return densify(panel(spark, sf).select("symbol", "t", "px"), S, "t", STEP)
+
+
+@query("select h, count(x * y) as n, round(corr(x, y), 6) as ic, round(avg(x * y) / stddev_samp(x * y) * sqrt(1095.0 / h), 4) as sharpe from (" + " union all ".join(f"select {h} as h, px / nullif(lag(px, 9) over w, 0) - 1 as x, case when t // 28800000 % {h} = 0 then lead(px, {h}) over w / nullif(px, 0) - 1 end as y from gp window w as (partition by symbol order by t)" for h in (1, 3, 9)) + ") where x is not null and y is not null group by h", gp=_GRIDPX)
+def directional_ic(spark, sf):
+    """How a nine-bar move goes with the next one, three or nine bars, on bars that don't overlap."""
+    w = wn.along(S, "t")
+    ratio = lambda a, b: F.try_divide(a, F.nullif(b, F.lit(0.0))) - 1
+    px, bar = F.col("px"), F.floor(F.col("t") / F.lit(STEP))
+    d = _dense_px(spark, sf).select(ratio(px, F.lag("px", 9).over(w)).alias("x"), F.array(*[F.struct(F.lit(h).alias("h"), F.when(bar % h == 0, ratio(F.lead("px", h).over(w), px)).alias("y")) for h in (1, 3, 9)]).alias("v"))
+    d = d.select("x", F.inline("v")).filter("x is not null and y is not null")
+    xy = F.col("x") * F.col("y")
+    return d.groupBy("h").agg(F.count(F.lit(1)).alias("n"), r(corr("x", "y")).alias("ic"), (F.avg(xy) / F.stddev_samp(xy)).alias("q")).select("h", "n", "ic", r(F.col("q") * F.sqrt(F.lit(1095.0) / F.col("h")), 4).alias("sharpe"))
+
+
+@query("select n, count(y) as rows, round(avg(y), 9) as hold, round(avg(case when x > 0 then y else 0 end), 9) as long_flat, round(avg(sign(x) * y), 9) as long_short from (" + " union all ".join(f"select {n} as n, px / nullif(lag(px, {n}) over w, 0) - 1 as x, lead(px) over w / nullif(px, 0) - 1 as y from gp window w as (partition by symbol order by t)" for n in (21, 90)) + ") where x is not null and y is not null group by n", gp=_GRIDPX)
+def momentum_rules(spark, sf):
+    """Holding, holding while the trend is up, and going with the trend, for two lengths of it."""
+    w = wn.along(S, "t")
+    ratio = lambda a, b: F.try_divide(a, F.nullif(b, F.lit(0.0))) - 1
+    d = _dense_px(spark, sf).select(ratio(F.lead("px").over(w), F.col("px")).alias("y"), F.array(*[F.struct(F.lit(n).alias("n"), ratio(F.col("px"), F.lag("px", n).over(w)).alias("x")) for n in (21, 90)]).alias("v"))
+    d = d.select("y", F.inline("v")).filter("x is not null and y is not null")
+    y = F.col("y")
+    return d.groupBy("n").agg(F.count(F.lit(1)).alias("rows"), r(F.avg(y), 9).alias("hold"), r(F.avg(F.when(F.col("x") > 0, y).otherwise(0.0)), 9).alias("long_flat"), r(F.avg(F.signum("x") * y), 9).alias("long_short"))
+
+
+_NEUTRAL = "select t, 'dollar' as kind, beta, fwd_ret, funding, d1 as x from dd union all select t, 'beta', beta, fwd_ret, funding, d1 - coalesce(covar_pop(d1, beta) over (partition by t) / nullif(var_pop(beta) over (partition by t), 0), 0) * (beta - avg(beta) over (partition by t)) from dd"
+
+
+@query("select kind, count(*) as bars, round(avg(abs(exposure)), 7) as exposure, round(avg(ret), 9) as mean from (select kind, t, sum(w * beta) as exposure, sum(w * fwd_ret) - sum(w * funding) as ret from (select *, x / nullif(sum(abs(x)) over (partition by kind, t), 0) as w from nb) group by kind, t) where ret is not null group by kind", pb=_PB, dd="select *, dv - avg(dv) over (partition by t) as d1 from (select *, (p - avg(p) over (partition by t)) / nullif(sigma, 0) as dv from pb where n >= 8)", nb=_NEUTRAL)
+def neutral_books(spark, sf):
+    """The book neutral to money and the one neutral to beta: what exposure is left, and the mean return."""
+    out = None
+    for kind, cfg in (("dollar", market.BookConfig()), ("beta", market.BookConfig(beta_neutral=True))):
+        w = market.book_weights(book(spark, sf), cfg).groupBy("t").agg(F.sum(F.col("w") * F.col("beta")).alias("e"), (F.sum(F.col("w") * F.col("fwd_ret")) - F.sum(F.col("w") * F.col("funding"))).alias("ret")).filter("ret is not null")
+        g = w.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("bars"), r(F.avg(F.abs("e")), 7).alias("exposure"), r(F.avg("ret"), 9).alias("mean"))
+        out = g if out is None else out.unionByName(g)
+    return out
+
+
 # ---- audits -------------------------------------------------------------------------------------------------------------------------
 
 _CHECKS = {
