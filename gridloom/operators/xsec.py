@@ -53,6 +53,22 @@ def counted_mean_rank(x: str) -> Column:
     return F.col(f"{x}_below") + (F.col(f"{x}_ties") + 1) / 2
 
 
+def counted_ordinals(df: DataFrame, x: str, bar: list[str], tie: list[str]) -> DataFrame:
+    """Add ``{x}_up`` (1 for the largest) and ``{x}_down`` (1 for the smallest), both by ``tie`` among equals, and ``{x}_n``.
+
+    For bars of any size: only equal values of a bar are ordered together. NULL values have none.
+    """
+    df = counted_ranks(df, x, bar)
+    place = F.when(c(x).isNotNull(), F.row_number().over(W.partitionBy(*bar, x).orderBy(*tie)))
+    below, ties, n = F.col(f"{x}_below"), F.col(f"{x}_ties"), F.col(f"{x}_n")
+    return df.withColumn("__place", place).withColumns({f"{x}_up": n - below - ties + F.col("__place"), f"{x}_down": below + F.col("__place")}).drop("__place", f"{x}_below", f"{x}_ties")
+
+
+def quantile_of(place: Column, n: Column, q: int) -> Column:
+    """Bucket 0..q-1 of an ordinal among n, with edges at the q-quantiles of the ordinals (an edge belongs below)."""
+    return F.when(n > 1, F.greatest(F.ceil((place - 1) * q / (n - 1)) - 1, F.lit(0)).cast("int")).otherwise(0)
+
+
 def pct_rank(x: str | Column, bar: list[str]) -> Column:
     """Average-tie rank over the number of non-NULL values."""
     return mean_rank(x, bar) / F.count(c(x)).over(W.partitionBy(*bar))
@@ -94,16 +110,15 @@ def outside_mean(x: str | Column, bar: list[str], group: list[str]) -> Column:
 
 
 def quantile_bucket(x: str | Column, bar: list[str], tie: list[str], q: int) -> Column:
-    """Bucket 0..q-1 of the ordinal rank, with edges at the q-quantiles of the ranks (an edge belongs below)."""
-    r, n = ordinal(x, bar, tie), F.count(F.lit(1)).over(W.partitionBy(*bar))
-    return F.when(n > 1, F.greatest(F.ceil((r - 1) * q / (n - 1)) - 1, F.lit(0)).cast("int")).otherwise(0)
+    """``quantile_of`` the ordinal rank, as a window over the bar."""
+    return quantile_of(ordinal(x, bar, tie), F.count(F.lit(1)).over(W.partitionBy(*bar)), q)
 
 
 def tail_spread(df: DataFrame, score: str, y: str, bar: list[str], tie: list[str], k: int) -> DataFrame:
     """Per bar: mean y of the k highest scores minus that of the k lowest, for bars of at least 2k rows."""
-    rows = df.filter(c(score).isNotNull() & c(y).isNotNull())
-    rows = rows.withColumns({"__u": ordinal(score, bar, tie, True), "__d": ordinal(score, bar, tie)})
-    out = rows.groupBy(*bar).agg(F.avg(F.when(F.col("__u") <= k, c(y))).alias("top"), F.avg(F.when(F.col("__d") <= k, c(y))).alias("bottom"), F.count(F.lit(1)).alias("n"))
+    rows = df.filter(c(score).isNotNull() & c(y).isNotNull()).select(*bar, *tie, c(score).alias("s"), c(y).alias("y"))
+    rows = counted_ordinals(rows, "s", bar, tie)
+    out = rows.groupBy(*bar).agg(F.avg(F.when(F.col("s_up") <= k, F.col("y"))).alias("top"), F.avg(F.when(F.col("s_down") <= k, F.col("y"))).alias("bottom"), F.count(F.lit(1)).alias("n"))
     return out.filter(F.col("n") >= 2 * k).withColumn("spread", F.col("top") - F.col("bottom"))
 
 

@@ -202,7 +202,8 @@ def ic_by_dispersion(spark, sf):
 def quintile_profile(spark, sf):
     from gridloom.operators import xsec as xs
 
-    b = book(spark, sf).withColumns({"bucket": xs.quantile_bucket("score", ["t"], ["symbol"], 5), "n": F.count(F.lit(1)).over(W.partitionBy("t"))}).filter("n >= 8")
+    b = xs.counted_ordinals(book(spark, sf).select("t", "symbol", "score", "fwd_ret"), "score", ["t"], ["symbol"]).filter("score_n >= 8")
+    b = b.withColumn("bucket", xs.quantile_of(F.col("score_down"), F.col("score_n"), 5))
     return b.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), r(F.avg("fwd_ret"), 8).alias("mean"))
 
 

@@ -486,13 +486,15 @@ def pct_rank_avg_ties(spark, sf):
 
 @query("select t, symbol, row_number() over (partition by t order by score, symbol) as n from book")
 def ordinal_rank(spark, sf):
-    return book(spark, sf).select("t", "symbol", xs.ordinal("score", BAR, KEY).cast("bigint").alias("n"))
+    x = xs.counted_ordinals(book(spark, sf).select("t", "symbol", "score"), "score", BAR, KEY)
+    return x.select("t", "symbol", F.col("score_down").alias("n"))
 
 
 @query("select t, symbol from (select t, symbol, rank() over (partition by t order by score desc) + (count(*) over (partition by t, score) - 1) / 2.0 as k from book) where k <= 4")
 def top_k_mean_rank(spark, sf):
-    b = book(spark, sf).withColumn("k", xs.mean_rank("score", BAR, True))
-    return b.filter("k <= 4").select("t", "symbol")
+    b = xs.counted_ranks(book(spark, sf).select("t", "symbol", "score"), "score", BAR)
+    above = F.col("score_n") - F.col("score_below") - F.col("score_ties")
+    return b.filter(above + (F.col("score_ties") + 1) / 2 <= 4).select("t", "symbol")
 
 
 WEIGHTS = "select *, d / nullif(sum(abs(d)) over (partition by t), 0) as w from (select *, p - avg(p) over (partition by t) as d from pct)"
@@ -543,7 +545,8 @@ def dispersion_terciles(spark, sf):
 
 @query("select t, symbol, case when n > 1 then cast(greatest(ceil((k - 1) * 5 / (n - 1)) - 1, 0) as int) else 0 end as bucket from (select t, symbol, row_number() over (partition by t order by score, symbol) as k, count(*) over (partition by t) as n from book)")
 def quintile_bucket(spark, sf):
-    return book(spark, sf).select("t", "symbol", xs.quantile_bucket("score", BAR, KEY, 5).alias("bucket"))
+    x = xs.counted_ordinals(book(spark, sf).select("t", "symbol", "score"), "score", BAR, KEY)
+    return x.select("t", "symbol", xs.quantile_of(F.col("score_down"), F.col("score_n"), 5).alias("bucket"))
 
 
 @query("select t, round(top - bottom, 8) as spread, n from (select t, avg(case when u <= 3 then fwd_ret end) as top, avg(case when d <= 3 then fwd_ret end) as bottom, count(*) as n from (select *, row_number() over (partition by t order by score desc, symbol) as u, row_number() over (partition by t order by score, symbol) as d from book) group by t) where n >= 6")

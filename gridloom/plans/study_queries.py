@@ -481,10 +481,16 @@ def dispersion_gate(spark, sf):
     return s.groupBy("keep").agg(F.count(F.lit(1)).alias("bars"), r(F.avg("ret"), 9).alias("mean"))
 
 
+def _placed(spark, sf) -> DataFrame:
+    """Rows of bars of eight or more with their places from the top (u) and the bottom (d)."""
+    b = xs.counted_ordinals(book(spark, sf).select("t", "symbol", "score", "fwd_ret"), "score", T, ["symbol"]).filter("score_n >= 8")
+    return b.withColumnsRenamed({"score_up": "u", "score_down": "d"})
+
+
 @query("select side, place, count(*) as n, round(avg(case when (case when side = 'top' then 1 else -1 end) * fwd_ret > 0 then 1.0 else 0.0 end), 6) as hit, round(avg(fwd_ret), 9) as mean from (select 'top' as side, u as place, fwd_ret from pb where n >= 8 and u <= 4 union all select 'bottom', d, fwd_ret from pb where n >= 8 and d <= 4) group by all", pb=_PB)
 def rank_hits(spark, sf):
     """How often the k-th best and k-th worst of a bar went the way they were ranked."""
-    b = book(spark, sf).withColumns({"n": F.count(F.lit(1)).over(W.partitionBy("t")), "u": xs.ordinal("score", T, ["symbol"], True), "d": xs.ordinal("score", T, ["symbol"])}).filter("n >= 8")
+    b = _placed(spark, sf)
     side = F.explode(F.array(F.struct(F.lit("top").alias("side"), F.col("u").alias("place")), F.struct(F.lit("bottom").alias("side"), F.col("d").alias("place"))))
     b = b.select("fwd_ret", side.alias("s")).select("fwd_ret", "s.*").filter("place <= 4")
     won = F.when(F.col("side") == "top", F.col("fwd_ret")).otherwise(-F.col("fwd_ret")) > 0
@@ -494,7 +500,7 @@ def rank_hits(spark, sf):
 @query("select t, round(1 - count(q.symbol) / 4.0, 6) as turnover from (select nxt as t, symbol from tops join (select t, lead(t) over (order by t) as nxt from (select distinct t from tops)) using (t) where nxt is not null) p left join tops q using (t, symbol) group by t", pb=_PB, tops="select t, symbol from pb where n >= 8 and u <= 4")
 def top_overlap_turnover(spark, sf):
     """One less the share of a bar's four best that are among the next bar's."""
-    b = book(spark, sf).withColumns({"n": F.count(F.lit(1)).over(W.partitionBy("t")), "u": xs.ordinal("score", T, ["symbol"], True)}).filter("n >= 8 and u <= 4").select("t", "symbol")
+    b = _placed(spark, sf).filter("u <= 4").select("t", "symbol")
     order = b.select("t").distinct().withColumn("nxt", F.lead("t").over(W.orderBy("t"))).filter("nxt is not null")
     past = b.join(order, "t").select(F.col("nxt").alias("t"), "symbol")
     return past.join(b.withColumn("kept", F.lit(1)), ["t", "symbol"], "left").groupBy("t").agg(r(1 - F.count("kept") / 4).alias("turnover"))

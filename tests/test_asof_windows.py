@@ -196,3 +196,10 @@ def test_counted_ranks_of_a_hot_bar(spark, block):
     np.testing.assert_allclose(got.o.astype(float).values, pdf.groupby("t").x.rank().values)
     n = pdf.groupby("t").x.transform("count")
     assert (got.x_n.dropna().astype(int).values == n[pdf.x.notna()].values).all() and len(got) == 4000
+
+    places = xs.counted_ordinals(df.filter("x is not null"), "x", ["t"], ["i"]).toPandas().sort_values("i")
+    order = pdf.dropna().sort_values(["t", "x", "i"])
+    want = (order.groupby("t").cumcount() + 1).sort_index()
+    assert places.x_down.astype(int).tolist() == want.tolist()
+    down = (pdf.dropna().sort_values(["t", "x", "i"], ascending=[True, False, True]).groupby("t").cumcount() + 1).sort_index()
+    assert places.x_up.astype(int).tolist() == down.tolist()
